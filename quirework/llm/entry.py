@@ -4,14 +4,30 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quirework.llm import apportion, feistel_shards, ppm_langid, simhash_dedup
+from quirework.llm import apportion, decontaminate, feistel_shards, hnsw, main_text, ppm_langid, simhash_dedup, warc
 from quirework.llm.common import table
 
 
+def op1_cgk_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op2_hnsw_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hnsw.nearest_neighbours(table(spark, sf_dir, "embeddings"))
+
+
 def op4_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feistel_shards.shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op5_warc_capture_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op7_sainte_lague_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return apportion.mix_documents(table(spark, sf_dir, "documents"))
 
@@ -27,7 +43,10 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries():
     return {
         f.__name__: f
-        for f in (op4_feistel_shards, op7_sainte_lague_mix, op8_ppm_language, op10_simhash_near_dedup)
+        for f in (
+            op1_cgk_decontamination, op2_hnsw_neighbours, op4_feistel_shards, op5_warc_capture_index, op6_main_text,
+            op7_sainte_lague_mix, op8_ppm_language, op10_simhash_near_dedup,
+        )
     }
 
 
