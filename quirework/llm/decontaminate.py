@@ -31,9 +31,11 @@ from pyspark.sql import functions as F
 SIMILARITY = 0.8
 #: Items with fewer words than this can't be told from chance and aren't searched.
 LEAST_WORDS = 5
-STEPS = 12
-SAMPLES = 5
+STEPS = 16
+SAMPLES = 11
 REPETITIONS = 6
+#: A walk that lingers shows few words; windows of items whose samples show fewer are left to other repetitions.
+LEAST_SEEN = 5
 SEED = 5
 CHUNK = 400_000
 #: Items are searched in slices of at most so many bytes of text, each sent to all executors.
@@ -108,6 +110,28 @@ def best_substring(pattern: str, text: str) -> tuple[int, int]:
     return best, end
 
 
+class _Words:
+    """A text's words by number, made when asked for."""
+
+    def __init__(self, text: str, kept: np.ndarray):
+        self.text, self.kept, self.tokens = text, kept, text.split()
+
+    def between(self, first: int, last: int) -> list[str]:
+        return [word_of(self.tokens[i]) for i in self.kept[first:last]]
+
+    def characters(self, first: int, last: int) -> tuple[int, int]:
+        """Start and end in the text of words ``first`` to ``last - 1``."""
+        a, b = self.kept[first], self.kept[last - 1]
+        start = end = 0
+        for i, m in enumerate(re.finditer(r"\S+", self.text)):
+            if i == a:
+                start = m.start()
+            if i == b:
+                end = m.end()
+                break
+        return start, end
+
+
 class Searcher:
     """Finds items in texts; built on the driver from one slice of items, shipped to executors once."""
 
@@ -124,32 +148,42 @@ class Searcher:
         n = len(vocabulary) + 1
         rng = np.random.default_rng(SEED)
         flat: list[int] = []
-        #: item and offset of every hashed window: those that the whole walk stays in, and those of items shorter than it
-        windows: dict[int, list[tuple[int, int, int]]] = {STEPS: [], LEAST_WORDS: []}
+        #: place, item and offset of every hashed window, by the steps that the walk surely stays in it
+        windows: dict[int, list[tuple[int, int, int]]] = {}
         for k, ws in enumerate(self.words):
-            steps = STEPS if len(ws) >= STEPS else LEAST_WORDS
-            windows[steps] += [(len(flat) + o, k, o) for o in range(len(ws) - steps + 1)]
+            steps = min(STEPS, len(ws))
+            windows.setdefault(steps, []).extend((len(flat) + o, k, o) for o in range(len(ws) - steps + 1))
             flat += [vocabulary[w] for w in ws]
         x = np.array(flat + [0] * STEPS, np.int32)
         self.first = np.zeros(n, bool)
         self.reps = []
-        for steps, listed_windows in windows.items():
-            if not listed_windows:
-                continue
+        for steps, listed_windows in sorted(windows.items()):
             starts, where, offset = np.array(listed_windows, np.int64).T
             self.first[x[starts]] = True
             for r in range(REPETITIONS):
                 bits = np.stack([(_hash(SEED, r, t, np.arange(n)) >> np.uint64(40)).astype(np.uint8) & 1 for t in range(STEPS)])
-                second = 1 + r % min(3, steps - 3)
-                later = np.sort(rng.choice(np.arange(second + 1, steps), min(SAMPLES, steps - second) - 2, replace=False))
+                second = 2 + r % min(3, steps - 4)
+                later = np.sort(rng.choice(np.arange(second + 1, steps), min(SAMPLES - 2, steps - second - 1), replace=False))
                 rep = {"bits": bits, "places": [0, second, *later.tolist()]}
                 early, keys = self._keys(x, starts, rep, None)
+                told = self._words_seen(x, starts, rep) >= min(LEAST_SEEN, steps // 2)
                 table = np.zeros(_MASK + 1, bool)
-                table[early] = True
-                order = np.argsort(keys, kind="stable")
+                table[early[told]] = True
+                order = np.flatnonzero(told)[np.argsort(keys[told], kind="stable")]
                 rep |= {"early": table, "keys": keys[order], "where": where[order], "offset": offset[order]}
                 self.reps.append(rep)
 
+    @staticmethod
+    def _words_seen(x: np.ndarray, starts: np.ndarray, rep: dict) -> np.ndarray:
+        """How many places of the text the sampled steps of each walk look at."""
+        at, last, seen = starts.copy(), np.full(len(starts), -1), np.zeros(len(starts), np.int64)
+        for t in range(rep["places"][-1] + 1):
+            if t in rep["places"]:
+                seen += at != last
+                last = at.copy()
+            at += rep["bits"][t][x[at]]
+        return seen
+
     @staticmethod
     def _keys(x: np.ndarray, starts: np.ndarray, rep: dict, early: np.ndarray | None):
         """With ``early``: indices of the starts that pass it and their keys; without: the early codes and keys of all."""
@@ -222,25 +256,24 @@ class Searcher:
         doc = np.where(place < 0, 0, doc)
         out = []
         order = np.lexsort((place, item, doc))
-        words: list[str] = []
-        current, a = -1, 0
+        words, current, a = _Words("", np.empty(0, np.int64)), -1, 0
         while a < len(order):
             d, k = int(doc[order[a]]), int(item[order[a]])
             b = a
             while b < len(order) and doc[order[b]] == d and item[order[b]] == k:
                 b += 1
             if d != current:
-                words, current = words_of(texts[base + d] or ""), d
+                words, current = _Words(texts[base + d] or "", np.flatnonzero(real[slice(*spans[d])])), d
             at = place[order[a:b]] - begins[d]
             hit = self._verify(words, int(ends[d] - begins[d]), k, at)
             if hit:
                 distance, start, end = hit
-                s, e = self._characters(texts[base + d] or "", start, end)
+                s, e = words.characters(start, end)
                 out.append((base + d, k, distance, 1 - distance / len(self.texts[k]), s, e))
             a = b
         return out
 
-    def _verify(self, words: list[str], n: int, k: int, at: np.ndarray) -> tuple[int, int, int] | None:
+    def _verify(self, words: _Words, n: int, k: int, at: np.ndarray) -> tuple[int, int, int] | None:
         """Best ``(distance, first word, last word + 1)`` around the given places, or None above the allowed edits."""
         item = self.texts[k]
         size = len(self.words[k])
@@ -256,7 +289,7 @@ class Searcher:
                 hi = int(at[i]) + size + slack
                 i += 1
             lo, hi = max(0, lo), min(n, hi)
-            region = " ".join(words[lo:hi])
+            region = " ".join(words.between(lo, hi))
             exact = region.find(item)
             if exact >= 0:
                 distance, start, end = 0, exact, exact + len(item)
@@ -272,17 +305,6 @@ class Searcher:
                     break
         return best
 
-    @staticmethod
-    def _characters(text: str, first: int, last: int) -> tuple[int, int]:
-        start = end = 0
-        for i, m in enumerate(m for m in re.finditer(r"\S+", text) if word_of(m[0])):
-            if i == first:
-                start = m.start()
-            if i == last - 1:
-                end = m.end()
-                break
-        return start, end
-
 
 def _slices(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[list[tuple[int | None, str]]]:
     rows, held = [], 0
