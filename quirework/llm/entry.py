@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quirework.llm import apportion, decontaminate, feistel_shards, hnsw, main_text, ppm_langid, simhash_dedup, warc
+from quirework.llm import apportion, decontaminate, feistel_shards, hnsw, line_templates, main_text, ppm_langid, private_data
+from quirework.llm import simhash_dedup, warc
 from quirework.llm.common import table
 
 
@@ -16,6 +17,10 @@ def op2_hnsw_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hnsw.nearest_neighbours(table(spark, sf_dir, "embeddings"))
 
 
+def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return private_data.personal_data(table(spark, sf_dir, "documents"))
+
+
 def op4_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feistel_shards.shard_documents(table(spark, sf_dir, "documents"))
 
@@ -36,6 +41,10 @@ def op8_ppm_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ppm_langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op9_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_templates.drop_templates(table(spark, sf_dir, "documents"))
+
+
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -44,8 +53,9 @@ def queries():
     return {
         f.__name__: f
         for f in (
-            op1_cgk_decontamination, op2_hnsw_neighbours, op4_feistel_shards, op5_warc_capture_index, op6_main_text,
-            op7_sainte_lague_mix, op8_ppm_language, op10_simhash_near_dedup,
+            op1_cgk_decontamination, op2_hnsw_neighbours, op3_personal_data, op4_feistel_shards,
+            op5_warc_capture_index, op6_main_text, op7_sainte_lague_mix, op8_ppm_language, op9_line_templates,
+            op10_simhash_near_dedup,
         )
     }
 
