@@ -355,18 +355,22 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float =
     """Rows of ``docs`` in whose text no item is found; columns unchanged."""
     names = docs.columns
     spark = docs.sparkSession
-    left = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)])
-    at = [c.lower() for c in names].index(text_col.lower())
-    for items in _slices(benchmark, item_col, item_text_col):
+
+    def clean_of(items: list[tuple[int | None, str]]):
         shared = spark.sparkContext.broadcast(Searcher(items, similarity))
 
         @F.pandas_udf("boolean")
-        def clean(batches: Iterator[pd.Series], shared=shared) -> Iterator[pd.Series]:
+        def clean(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
             for s in batches:
                 ok = pd.Series(True, index=range(len(s)))
                 for hit in shared.value.search([None if pd.isna(t) else t for t in s]):
                     ok[hit[0]] = False
                 yield ok
 
-        left = left.where(clean(F.col(f"c{at}").cast("string")))
+        return clean
+
+    left = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)])
+    at = [c.lower() for c in names].index(text_col.lower())
+    for items in _slices(benchmark, item_col, item_text_col):
+        left = left.where(clean_of(items)(F.col(f"c{at}").cast("string")))
     return left.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)])
