@@ -81,7 +81,7 @@ def spurious(existing: DataFrame, used: DataFrame, key: list[str] = TABLE) -> Da
 def words_in_cells(words: DataFrame, cells_: DataFrame, key: list[str] = TABLE) -> DataFrame:
     """Each word with the cell its centre lies in; with overlapping cells the first by height, then place."""
     c = cells_.select(*key, "row", "col", "cell_id", *[F.col(x).alias(f"o_{x}") for x in "lrtb"])
-    j = words.join(c, key).where(point_in(F.col("cx"), F.col("cy"), box("o_")))
+    j = words.drop("row", "col", "cell_id").join(c, key).where(point_in(F.col("cx"), F.col("cy"), box("o_")))
     first = Window.partitionBy(*key, "pos").orderBy(F.col("o_t") + F.col("o_b"), F.col("o_l") + F.col("o_r"), "row", "col")
     return j.withColumn("k", F.row_number().over(first)).where("k = 1").drop("k")
 
