@@ -167,3 +167,48 @@ def ink_distance(image: str, width: int) -> np.ndarray:
         out[grown & (out < 0)] = step
         now = grown
     return out
+
+
+def alignment_similarity(a: np.ndarray, b: np.ndarray) -> float:
+    """Best product of both coverages with the ink boxes aligned left, right, centred, or scaled to one size."""
+
+    def inked(x: np.ndarray) -> np.ndarray:
+        ys, xs = np.nonzero(x)
+        return x[ys.min() : ys.max() + 1, xs.min() : xs.max() + 1]
+
+    if not a.any() or not b.any():
+        return float(a.any() == b.any())
+    a, b = inked(a), inked(b)
+    h, w = max(a.shape[0], b.shape[0]), max(a.shape[1], b.shape[1])
+
+    def placed(x: np.ndarray, part: float) -> np.ndarray:
+        out = np.zeros((h, w), bool)
+        y, left = h - x.shape[0], int((w - x.shape[1]) * part)
+        out[y:, left : left + x.shape[1]] = x
+        return out
+
+    def scaled(x: np.ndarray) -> np.ndarray:
+        return x[np.arange(h) * x.shape[0] // h][:, np.arange(w) * x.shape[1] // w]
+
+    pairs = [(placed(a, p), placed(b, p)) for p in (0.0, 0.5, 1.0)] + [(scaled(a), scaled(b))]
+    return max(float((x & y).sum() / x.sum() * ((x & y).sum() / y.sum())) for x, y in pairs)
+
+
+def clusters(pairs: DataFrame, least: float = 0.0, max_rounds: int = 20) -> DataFrame:
+    """``glyph, cluster``: mutual best matches seed clusters; a glyph whose best match has a cluster joins it, until
+    nothing changes. Clusters are named after their seed's smaller glyph."""
+    from quirework.plans.scratch import written
+
+    p = pairs.where(F.col("sim") >= least)
+    both = p.select("a", "b", "sim").unionByName(p.select(F.col("b").alias("a"), F.col("a").alias("b"), "sim"))
+    w = Window.partitionBy("a").orderBy(F.col("sim").desc(), "b")
+    best = written(both.withColumn("k", F.row_number().over(w)).where("k = 1").select(F.col("a").alias("glyph"), F.col("b").alias("best")), "best")
+    seeds = best.join(best.select(F.col("glyph").alias("best"), F.col("best").alias("glyph")), ["glyph", "best"])
+    done = written(seeds.select("glyph", F.least("glyph", "best").alias("cluster")), "clusters")
+    for _ in range(max_rounds):
+        known = done.select(F.col("glyph").alias("best"), "cluster")
+        new = written(best.join(done.select("glyph"), "glyph", "left_anti").join(known, "best").select("glyph", "cluster"), "joined")
+        if new.isEmpty():
+            break
+        done = written(done.unionByName(new), "clusters")
+    return done

@@ -7,10 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quirework.functions import ids
+from quirework.functions import attributes, ids
 from quirework.functions import text as tx
 from quirework.functions.geometry import box, box_text, div, scale_box
-from quirework.operators import aggregates, captions, glyphs, intervals, quality, spatial, streams, styles, tables
+from quirework.operators import aggregates, captions, edits, glyphs, headers, intervals, quality, spatial, streams, styles, tables
 from quirework.operators import text as otext
 from quirework.sources import formats, layout
 from quirework.streaming import changes
@@ -612,6 +612,64 @@ def anchor_match(spark, d):
     return styles.anchor_matches(_words(spark, d), (0, 800, 0, 100), r"[^.]+\.?[^.]*", 100)
 
 
+# ---- scopes and edits --------------------------------------------------------------------------------------------
+
+_TYPES = ("mainText", "table", "caption", "footnote", "pageTitle", "label", "artifact", "deleted")
+
+
+@query("SELECT doc_id, stream_type, count(*) AS n FROM (SELECT doc_id, list_extract(['mainText', 'table', 'caption', 'footnote', 'pageTitle', 'label', 'artifact', 'deleted'], (line % 8 + 1)::INT) AS stream_type FROM words) "
+       "WHERE stream_type NOT IN ('deleted', 'caption', 'footnote', 'label', 'artifact') GROUP BY ALL")
+def stream_type_filter(spark, d):
+    types = F.array(*[F.lit(t) for t in _TYPES])
+    w = _words(spark, d).withColumn("stream_type", F.get(types, (F.col("line") % 8).cast("int")))
+    flags = edits.LEVELS["paragraphs"] | edits.NO_CAPTIONS | edits.PAGE_TITLES
+    return edits.in_scope(w, flags).groupBy("doc_id", "stream_type").agg(F.count("*").alias("n"))
+
+
+@query("SELECT doc_id, page_id, n, '[' || l || ',' || r || ',' || t || ',' || b || ']' AS bounds, page_id::VARCHAR AS page, 'none' AS label FROM blocks")
+def virtual_attributes(spark, d):
+    b = layout.blocks(_words(spark, d))
+    return b.select(
+        "doc_id", "page_id", "n", attributes.attribute(b, "boundingBox").alias("bounds"), attributes.attribute(b, "pageId").alias("page"),
+        attributes.attribute(b, "label", "none").alias("label"),
+    )
+
+
+@query("SELECT doc_id, pos, CASE WHEN pos % 3 = 1 THEN str || '+' ELSE str END AS str, row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS new_pos FROM words WHERE pos % 5 <> 0 OR pos % 3 = 1")
+def edited_words(spark, d):
+    w = _words(spark, d)
+    changed = w.where("pos % 3 = 1").select("doc_id", "pos", F.concat("str", F.lit("+")).alias("new_str"), F.lit(None).cast("string").alias("new_rel"))
+    gone = w.where("pos % 5 = 0 and pos % 3 <> 1").select("doc_id", "pos", F.lit(None).cast("string").alias("new_str"), F.lit(None).cast("string").alias("new_rel"))
+    return edits.rewrite(w, changed.unionByName(gone)).select("doc_id", "pos", "str", "new_pos")
+
+
+@query("SELECT a.doc_id, ann_id FROM annots a WHERE first_pos % 5 <> 0 AND last_pos % 5 <> 0")
+def annotations_after_replacement(spark, d):
+    w = _words(spark, d)
+    gone = w.where("pos % 5 = 0").select("doc_id", "pos", F.lit(None).cast("string").alias("new_str"), F.lit(None).cast("string").alias("new_rel"))
+    return edits.carry_annotations(layout.annotations(w), edits.rewrite(w, gone)).select("doc_id", "ann_id")
+
+
+@query(_CELLS + ", wc AS (SELECT ce.doc_id, ce.table_id, ce.row, ce.col, tw.pos, tw.cx, tw.cy FROM ce JOIN tw ON ce.doc_id = tw.doc_id AND ce.table_id = tw.table_id AND cx >= ce.l AND cx < ce.r AND cy >= ce.t AND cy < ce.b) "
+       "SELECT doc_id, table_id, pos, row_number() OVER (PARTITION BY doc_id, table_id ORDER BY row, col, cy, cx, pos) - 1 AS place FROM wc")
+def table_word_order(spark, d):
+    w = _table_words(spark, d)
+    inside = tables.words_in_cells(w, tables.cells(tables.rows_of(w), tables.columns_of(w))).withColumn("direction", F.lit("lr"))
+    return headers.word_order(inside).select("doc_id", "table_id", "pos", "place")
+
+
+@query("SELECT b.doc_id, b.page_id * 100 + b.n AS error_id, b.page_id AS first_page, b.page_id AS last_page, arg_min(w.pos, (w.line * 100000 + w.cx)) AS first_word, arg_max(w.pos, (w.line * 100000 + w.cx)) AS last_word "
+       "FROM blocks b JOIN words w ON w.doc_id = b.doc_id AND w.page_id = b.page_id AND w.cx >= b.l AND w.cx < b.r AND w.cy >= b.t AND w.cy < b.b GROUP BY b.doc_id, b.page_id, b.n")
+def subject_extents(spark, d):
+    w = _words(spark, d)
+    b = layout.blocks(w)
+    errors = b.select(
+        "doc_id", (F.col("page_id") * 100 + F.col("n")).alias("error_id"), F.lit("region").alias("subject_class"), "page_id", F.col("type").alias("subject_type"),
+        F.col("n").cast("string").alias("subject_id"), F.lit(None).cast("long").alias("first_pos"), F.lit(None).cast("long").alias("last_pos"),
+    )
+    return edits.subject_extents(errors, b, w)
+
+
 # ---- quality, glyphs ---------------------------------------------------------------------------------------------
 
 
@@ -641,6 +699,12 @@ def glyph_mutual_best(spark, d):
     return glyphs.mutual_best(_block_pairs(spark, d)).select("a", "b")
 
 
+@query()
+def glyph_clusters(spark, d):
+    """Clusters grown from mutual best matches over vectors that share a label."""
+    return glyphs.clusters(_block_pairs(spark, d))
+
+
 @query()
 def glyph_similarity(spark, d):
     """Bitmaps made from parts' names (8 by 16 pixels), joined by ink height and scored."""

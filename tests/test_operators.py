@@ -266,3 +266,74 @@ def test_changes_as_stream(spark, tmp_path):
     assert ("7", "y", 2) in got and ("8", None, 1) in got
     w = words(spark, [(1, 0, 7, 0, 30, 0, 20, "old", "S"), (2, 0, 7, 0, 30, 0, 20, "b", "S")])
     assert rows(changes.touched_documents(df, w), "doc_id", "str") == [(1, "y")]
+
+
+def test_stream_scope(spark):
+    from quirework.operators import edits
+
+    w = spark.createDataFrame([(t,) for t in ("mainText", "table", "caption", "footnote", "pageTitle", "label", "artifact", "deleted", None)], "stream_type string")
+    kept = lambda flags: {r.stream_type for r in edits.in_scope(w, flags).collect()}
+    assert kept(0) == {"mainText", "table", "caption", "footnote", "pageTitle", "label", "artifact", None}
+    assert kept(3 | edits.NO_TABLES | edits.NO_CAPTIONS | edits.LABELS) == {"mainText", "label", None}
+
+
+def test_edits(spark):
+    from quirework.operators import edits
+
+    w = words(spark, [(1, 0, i, i * 10, i * 10 + 8, 0, 20, s, r) for i, (s, r) in enumerate((("a", "S"), ("b", "P"), ("c", "S"), ("d", "S")))])
+    e = spark.createDataFrame([(1, 1, None, None), (1, 2, "C", None)], "doc_id long, pos long, new_str string, new_rel string")
+    out = edits.rewrite(w, e)
+    assert rows(out, "pos", "new_pos", "str", "rel") == [(0, 0, "a", "P"), (2, 1, "C", "S"), (3, 2, "d", "S")]
+    ann = spark.createDataFrame([(1, "t:0-2", "t", 0, 2), (1, "t:1-3", "t", 1, 3)], "doc_id long, ann_id string, type string, first_pos long, last_pos long")
+    assert rows(edits.carry_annotations(ann, out), "ann_id", "new_first", "new_last") == [("t:0-2", 0, 1)]
+    named = spark.createDataFrame([(1, "t:0-2", "u")], "doc_id long, ann_id string, new_type string")
+    assert rows(edits.change_annotations(ann, renamed=named, removed=ann.where("first_pos = 1"), added=ann), "ann_id", "type") == [("t:0-2", "t"), ("t:1-3", "t"), ("u:0-2", "u")]
+    boxes = spark.createDataFrame([(1, 0, 1, 10, 19, 0, 20), (1, 0, 2, 0, 9, 0, 20)], "doc_id long, page_id long, n long, l long, r long, t long, b long")
+    assert rows(edits.carry_regions(boxes, out), "n") == [(2,)]
+
+
+def test_edit_scripts():
+    from quirework.operators.edits import apply_script, edit_script
+
+    assert edit_script("kitten", "sitting").count("K") == 4 and edit_script("", "ab") == "II" and edit_script("ab", "") == "DD"
+    assert apply_script(["ab", "cd"], edit_script("abcd", "ad"), "ad") == ["a", "d"]
+
+
+def test_attributes_and_hooks(spark):
+    from quirework.functions import attributes
+    from quirework.plans import hooks
+
+    d = spark.createDataFrame([(1, 2, {"note": "x"})], "doc_id long, page_id long, attrs map<string,string>")
+    r = d.select(attributes.attribute(d, "pageId").alias("p"), attributes.attribute(d, "note").alias("n"), attributes.attribute(d, "gone", "-").alias("g"), attributes.names_of(d).alias("all")).first()
+    assert (r.p, r.n, r.g, r["all"]) == ("2", "x", "-", ["documentId", "note", "pageId"])
+    assert attributes.set_attributes(d, {"note": "y", "k": "v"}, replace=False).first().attrs == {"note": "x", "k": "v"}
+    assert attributes.remove_attributes(d, "note").first().attrs == {}
+    assert spark.range(1).select(hooks.tokenized(F.lit("It's 1,000 (co-op).")).alias("t")).first().t == ["It's", "1,000", "(", "co-op", ")", "."]
+
+    @hooks.image_store("none", 5)
+    def none(pages):
+        return pages.where("false").withColumn("payload", F.lit(b""))
+
+    @hooks.image_store("all", 1)
+    def every(pages):
+        return pages.withColumn("payload", F.lit(b"i"))
+
+    assert bytes(hooks.page_images(d.drop("attrs")).first().payload) == b"i"
+
+
+def test_headers(spark):
+    from quirework.operators import headers
+
+    data = [(1, t, s, i * 10, i * 10 + 8, 0, 10) for t, ss in ((1, ("Name", "Year")), (2, ("name", "YEAR")), (3, ("City", "Zone"))) for i, s in enumerate(ss)]
+    w = spark.createDataFrame(data, "doc_id long, table_id long, str string, l long, r long, t long, b long")
+    pairs = spark.createDataFrame([(1, 1, 2), (1, 1, 3)], "doc_id long, table_id long, other_id long")
+    assert rows(headers.matches(w, pairs), "other_id", "matches") == [(2, True), (3, False)]
+    ext = spark.createDataFrame([(1, 1, 0, 100), (1, 2, 1000, 1200)], "doc_id long, table_id long, low long, high long")
+    b = ext.withColumn("n", F.lit(0).cast("long"))
+    cut = spark.createDataFrame([(1, 25)], "doc_id long, at long")
+    assert rows(headers.split_relative(b, ext, 1, cut), "table_id", "low", "high") == [(1, 0, 25), (1, 25, 100), (2, 1000, 1050), (2, 1050, 1200)]
+
+
+def test_glyph_clusters(spark):
+    p = spark.createDataFrame([(1, 2, 0.9), (2, 3, 0.8), (4, 5, 0.7), (3, 4, 0.1)], "a long, b long, sim double")
+    assert rows(glyphs.clusters(p), "glyph", "cluster") == [(1, 1), (2, 1), (3, 1), (4, 4), (5, 4)]
