@@ -28,22 +28,28 @@ ROUNDS = 2
 FIELD = "<*>"
 
 
-def masked(line):
-    """A line with white space as single spaces and every token that holds a digit as a variable field."""
-    plain = F.trim(F.regexp_replace(line, r"[\x20\x09-\x0D]++", " "))
-    return F.when(plain.rlike("[0-9]"), F.regexp_replace(plain, r"(?<![^ ])[^ 0-9]*+[0-9][^ ]*+", FIELD)).otherwise(plain)
+def masked_lines(text):
+    """A text's lines with white space as single spaces and every token that holds a digit as a variable field.
+
+    Each step is an array of its own and the result is exploded, so that no line is worked on twice; white space that
+    is one space already is no match.
+    """
+    plain = F.transform(
+        F.split(text, "\n", -1), lambda x: F.trim(F.regexp_replace(x, r"[\x20\x09-\x0D]{2,}+|[\x09-\x0D]", " "))
+    )
+    digits = F.transform(
+        plain, lambda x: F.when(x.rlike("[0-9]"), F.regexp_replace(x, r"(?<![^ ])[^ 0-9]*+[0-9][^ ]*+", FIELD)).otherwise(x)
+    )
+    return F.transform(digits, lambda x: F.struct(x.alias("masked"), (F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit(""))) + 1).alias("tokens")))
 
 
 def _lines(texts: DataFrame) -> DataFrame:
     """``text_key, pos, line_key, leaf, masked`` of the lines that are long enough."""
-    exploded = texts.select(
-        F.md5(F.col("text").cast("binary")).alias("text_key"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "line")
-    )
-    rows = exploded.withColumn("masked", masked(F.col("line")))
-    tokens = F.length("masked") - F.length(F.replace("masked", F.lit(" "), F.lit(""))) + 1
-    rows = rows.where((F.col("masked") != "") & (tokens >= LEAST_TOKENS))
-    leaf = F.xxhash64(tokens, F.substring_index("masked", " ", DEPTH))
-    return rows.select("text_key", "pos", F.md5(F.col("masked").cast("binary")).alias("line_key"), leaf.alias("leaf"), "masked")
+    rows = texts.select(
+        F.md5(F.col("text").cast("binary")).alias("text_key"), F.posexplode(masked_lines(F.col("text"))).alias("pos", "x")
+    ).where((F.col("x.tokens") >= LEAST_TOKENS) & (F.col("x.masked") != ""))
+    leaf = F.xxhash64("x.tokens", F.substring_index("x.masked", " ", DEPTH))
+    return rows.select("text_key", "pos", F.md5(F.col("x.masked").cast("binary")).alias("line_key"), leaf.alias("leaf"), F.col("x.masked").alias("masked"))
 
 
 def recurring(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
