@@ -60,5 +60,53 @@ def queries():
     }
 
 
+MIX_SQL = r"""
+WITH m AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+  md5('7:' || coalesce(doc_id::VARCHAR, '') || ':' || coalesce(text, '')) AS key FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size FROM m GROUP BY source),
+i AS (SELECT *, row_number() OVER (ORDER BY source IS NULL, source) - 1 AS idx, count(*) OVER () AS sources, (sum(source_size) OVER ())::BIGINT AS total FROM s),
+w AS (SELECT *, idx % 3 + 1 AS weight, (3 * source_size)::DOUBLE / (idx % 3 + 1) AS ratio, greatest(10000, 64 * sources) AS blocks FROM i),
+c AS (SELECT *, (sum(3 * source_size) OVER o - 3 * source_size)::BIGINT AS capped, (sum(weight) OVER () - sum(weight) OVER o + weight)::BIGINT AS free FROM w
+  WINDOW o AS (ORDER BY ratio, idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+u AS (SELECT *, (total - capped)::DOUBLE / free AS unit FROM c),
+f AS (SELECT arg_min(unit, struct_pack(ratio, idx)) AS unit FROM u WHERE unit * weight <= 3 * source_size),
+t AS (SELECT u.* EXCLUDE (unit), least((3 * source_size)::DOUBLE, f.unit * weight) AS target FROM u, f),
+k AS (SELECT *, target / sum(target) OVER () * blocks AS share FROM t),
+q AS (SELECT idx, blocks, target / (2 * unnest(range(0, ceil(share + 2)::BIGINT)) + 1) AS quotient FROM k WHERE target > 0),
+a AS (SELECT idx, count(*) AS quota FROM (SELECT *, row_number() OVER (ORDER BY quotient DESC, idx) AS n FROM q) WHERE n <= blocks GROUP BY idx),
+g AS (SELECT k.*, least(coalesce(quota, 0) * (total::DOUBLE / blocks), (3 * source_size)::DOUBLE) AS tokens FROM k LEFT JOIN a USING (idx)),
+p AS (SELECT *, CASE WHEN source_size > 0 THEN floor(tokens / source_size)::INT ELSE 0 END AS passes FROM g),
+d AS (SELECT m.*, sum(size) OVER (PARTITION BY source ORDER BY key, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - size / 2.0 AS middle FROM m),
+r AS (SELECT d.doc_id, size, source_size, target, passes + CASE WHEN source_size > 0 AND middle <= tokens - passes * source_size THEN 1 ELSE 0 END AS times
+  FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source)
+SELECT doc_id, size, source_size, target, (size * times)::BIGINT AS taken, times::INT AS times FROM r
+"""
+
+
+TEMPLATE_SQL = r"""
+WITH t AS (SELECT DISTINCT md5(text) AS tk, text FROM documents WHERE text IS NOT NULL),
+l0 AS (SELECT tk, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM t),
+l1 AS (SELECT *, trim(regexp_replace(line, '[\x20\x09-\x0D]{2,}|[\x09-\x0D]', ' ', 'g'), ' ') AS plain FROM l0),
+l2 AS (SELECT tk, pos, line, CASE WHEN regexp_matches(plain, '[0-9]') THEN array_to_string(list_transform(string_split(plain, ' '),
+  lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END), ' ') ELSE plain END AS masked FROM l1),
+l AS (SELECT *, len(string_split(masked, ' ')) || ':' || array_to_string(string_split(masked, ' ')[1:3], ' ') AS leaf FROM l2 WHERE masked <> '' AND len(string_split(masked, ' ')) >= 4),
+per AS (SELECT masked, leaf, count(DISTINCT tk) AS n FROM l GROUP BY ALL),
+o1 AS (SELECT * FROM per WHERE leaf IN (SELECT leaf FROM per GROUP BY leaf HAVING count(*) > 1 AND sum(n) >= 3)),
+f1 AS (SELECT leaf, masked AS model FROM (SELECT *, row_number() OVER (PARTITION BY leaf ORDER BY n DESC, md5(masked)) AS k FROM o1) WHERE k = 1),
+j1 AS (SELECT o1.*, model, list_sum(list_transform(list_zip(string_split(masked, ' '), string_split(model, ' ')), lambda z: (z[1] = z[2])::INT)) >= len(string_split(masked, ' ')) * 0.7::DOUBLE AS joins FROM o1 JOIN f1 USING (leaf)),
+o2 AS (SELECT masked, leaf, n FROM j1 WHERE NOT joins),
+f2 AS (SELECT leaf, masked AS model FROM (SELECT *, row_number() OVER (PARTITION BY leaf ORDER BY n DESC, md5(masked)) AS k FROM o2) WHERE k = 1),
+j2 AS (SELECT o2.*, model, list_sum(list_transform(list_zip(string_split(masked, ' '), string_split(model, ' ')), lambda z: (z[1] = z[2])::INT)) >= len(string_split(masked, ' ')) * 0.7::DOUBLE AS joins FROM o2 JOIN f2 USING (leaf)),
+assigned AS (SELECT masked, model FROM j1 WHERE joins UNION ALL SELECT masked, model FROM j2 WHERE joins),
+often AS (SELECT model FROM l JOIN assigned USING (masked) GROUP BY model HAVING count(DISTINCT tk) >= 3),
+dropped AS (SELECT masked FROM assigned WHERE model IN (SELECT model FROM often) UNION SELECT masked FROM per WHERE n >= 3 AND masked NOT IN (SELECT masked FROM assigned)),
+gone AS (SELECT DISTINCT tk, pos FROM l WHERE masked IN (SELECT masked FROM dropped)),
+kept AS (SELECT l0.tk, count(*) AS n_lines, count(gone.pos) AS n_dropped, string_agg(CASE WHEN gone.pos IS NULL THEN line END, chr(10) ORDER BY l0.pos) AS text
+  FROM l0 LEFT JOIN gone ON l0.tk = gone.tk AND l0.pos = gone.pos GROUP BY l0.tk)
+SELECT d.doc_id, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_dropped, 0)::BIGINT AS n_dropped, CASE WHEN d.text IS NOT NULL THEN coalesce(kept.text, '') END AS text
+FROM documents d LEFT JOIN kept ON md5(d.text) = kept.tk
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_sainte_lague_mix": MIX_SQL, "op9_line_templates": TEMPLATE_SQL}
