@@ -4,13 +4,13 @@ Base spans (email, ip, card, phone) are found by SQL functions alone: matches
 come from regexp_extract_all, their places from the lengths of the pieces that
 split leaves around them.
 
-Information-theoretic part: every base value is a protected entity e, every
-distinct text a context. Over the whole corpus, the pointwise mutual
-information of e and a term t on its lines is PMI = log2(N n(e,t) / n(e) n(t)),
-and e's own information is IC = log2(N / n(e)). A term that was seen with e in
-LEAST_CONTEXTS contexts discloses e if PMI >= IC / ALPHA. On lines with e such
-a term becomes a span: it is removed if it occurs with e only, otherwise
-generalised. Copies of a text count once, so that copying creates no evidence.
+Information-theoretic part: every base value is a protected entity e. Over all
+N documents, the pointwise mutual information of e and a term t on its lines is
+PMI = log2(N n(e,t) / n(e) n(t)), and e's own information is IC = log2(N / n(e)),
+n being numbers of documents. A term that was seen with e in LEAST_CONTEXTS
+different texts (copies of a text are no further evidence) discloses e if
+PMI >= IC / ALPHA. On lines with e such a term becomes a span: it is removed if
+it occurs with e only, otherwise generalised.
 
 Everything is DataFrame functions; nothing runs in Python.
 """
@@ -116,7 +116,7 @@ def _terms(line):
 def disclosing_terms(docs: DataFrame, text_col: str = "text") -> tuple[DataFrame, DataFrame | None]:
     """``(lines, pairs)``: lines with base spans, and the entity-term pairs that disclose (None if there are none).
 
-    lines: ``text_key, line_start, line, entity``; pairs: ``entity, term, only``
+    lines: ``text_key, line_start, line, entity, copies``; pairs: ``entity, term, only``
     (only: the term occurs with the entity alone).
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
@@ -137,27 +137,28 @@ def disclosing_terms(docs: DataFrame, text_col: str = "text") -> tuple[DataFrame
     )
     entity = F.transform("spans", lambda s: F.concat_ws(":", s["kind"].cast("string"), F.lower(F.regexp_replace(s["value"], "[^A-Za-z0-9@.]", ""))))
     lines = materialize(
-        held.select("text_key", "line_start", "line", F.explode(F.array_distinct(entity)).alias("entity")).distinct(), "lines"
+        held.select("text_key", "line_start", "line", F.explode(F.array_distinct(entity)).alias("entity"))
+        .groupBy("text_key", "line_start", "line", "entity").agg(F.count("*").alias("copies")), "lines",
     )
-    together = (
-        lines.select("text_key", "entity", F.explode(_terms(F.col("line"))).alias("term")).distinct()
-        .groupBy("entity", "term").agg(F.count("*").alias("n_et")).where(F.col("n_et") >= LEAST_CONTEXTS)
+    seen = lines.select("text_key", "entity", "copies", F.explode(_terms(F.col("line"))).alias("term"))
+    seen = seen.groupBy("text_key", "entity", "term").agg(F.max("copies").alias("copies"))
+    together = seen.groupBy("entity", "term").agg(F.sum("copies").alias("n_et"), F.count("*").alias("contexts")).where(
+        F.col("contexts") >= LEAST_CONTEXTS
     )
-    together = materialize(together, "together")
+    n_e = lines.groupBy("text_key", "entity").agg(F.max("copies").alias("copies")).groupBy("entity").agg(F.sum("copies").alias("n_e"))
+    n = texts.count()
+    # PMI >= IC / ALPHA says n(t) <= n(e,t) (N / n(e))^(1 - 1/ALPHA); the documents with t on lines that hold base values
+    # are a part of n(t), so terms of which these alone are too many need not be counted over the corpus
+    on_lines = seen.groupBy("text_key", "term").agg(F.max("copies").alias("copies")).groupBy("term").agg(F.sum("copies").alias("m_t"))
+    most = F.col("n_et") * F.pow(F.lit(float(n)) / F.col("n_e"), F.lit(1 - 1 / ALPHA)) * (1 + 1e-9)
+    together = together.join(n_e, "entity").withColumn("most", most).where((F.col("n_e") < n))
+    together = materialize(together.join(on_lines, "term").where("m_t <= most").select("entity", "term", "n_et", "n_e", "most"), "together")
     if together.isEmpty():  # no term was seen often enough with any value: nothing to weigh
         return lines, None
-    all_texts = texts.withColumn("text_key", F.md5(F.col("text").cast("binary")))
-    n = all_texts.select("text_key").distinct().count()
-    wanted = together.select("term").distinct()
-    n_t = (
-        all_texts.select("text_key", F.explode(_terms(F.col("text"))).alias("term"))
-        .join(wanted, "term", "left_semi").distinct().groupBy("term").agg(F.count("*").alias("n_t"))
-    )
-    n_e = lines.select("text_key", "entity").distinct().groupBy("entity").agg(F.count("*").alias("n_e"))
-    pmi = F.log2(F.lit(float(n)) * F.col("n_et") / (F.col("n_e") * F.col("n_t")))
-    ic = F.log2(F.lit(float(n)) / F.col("n_e"))
+    # counted first and joined then: what is sent is a row for each word and task, whatever the number of candidates
+    n_t = texts.select(F.explode(_terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
     pairs = (
-        together.join(n_t, "term").join(n_e, "entity").where((ic > 0) & (pmi >= ic / ALPHA))
+        together.join(n_t, "term").where("n_t <= most")
         .select("entity", "term", (F.col("n_et") == F.col("n_t")).alias("only"))
     )
     return lines, materialize(pairs, "pairs")
