@@ -108,5 +108,41 @@ FROM documents d LEFT JOIN kept ON md5(d.text) = kept.tk
 """
 
 
+PRIVATE_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, md5(coalesce(text, '')) AS tk FROM documents),
+u AS (SELECT tk, any_value(text) AS text, count(*) AS copies FROM d GROUP BY tk),
+pat(kind, ord) AS (VALUES ('email', 0), ('ip', 1), ('card', 2), ('phone', 3)),
+x AS (SELECT tk, text, kind, ord, CASE ord WHEN 0 THEN regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+') WHEN 1 THEN regexp_extract_all(text, '[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)')
+    WHEN 2 THEN regexp_extract_all(text, '[0-9](?:[\x20-]?[0-9])+') ELSE regexp_extract_all(text, '\+[0-9][\x20().0-9-]+[0-9]') END AS m,
+  CASE ord WHEN 0 THEN string_split_regex(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+') WHEN 1 THEN string_split_regex(text, '[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)')
+    WHEN 2 THEN string_split_regex(text, '[0-9](?:[\x20-]?[0-9])+') ELSE string_split_regex(text, '\+[0-9][\x20().0-9-]+[0-9]') END AS g FROM u, pat),
+y AS (SELECT tk, kind, ord, m, g, unnest(m) AS value, generate_subscripts(m, 1) AS i FROM x),
+z AS (SELECT tk, kind, ord, value, regexp_replace(value, '[^0-9]', '', 'g') AS digits,
+  (list_sum(list_transform(g[1:i], lambda e: length(e))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda e: length(e))), 0))::BIGINT AS a FROM y),
+base AS (SELECT tk, kind, ord, value, a, a + length(value) AS b FROM z WHERE CASE ord WHEN 1 THEN regexp_full_match(value, '(0*(25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9]))\.(0*(25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9]))\.(0*(25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9]))\.(0*(25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9]))')
+  WHEN 2 THEN length(digits) BETWEEN 14 AND 19 AND list_sum(list_transform(range(1, length(digits) + 1), lambda k: CASE WHEN k % 2 = 1 THEN substring(digits, length(digits) - k + 1, 1)::INT
+    ELSE substring(digits, length(digits) - k + 1, 1)::INT * 2 - CASE WHEN substring(digits, length(digits) - k + 1, 1)::INT > 4 THEN 9 ELSE 0 END END)) % 10 = 0
+  WHEN 3 THEN length(digits) BETWEEN 10 AND 15 ELSE true END),
+l0 AS (SELECT tk, copies, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS no FROM u WHERE tk IN (SELECT tk FROM base)),
+l1 AS (SELECT *, (sum(length(line) + 1) OVER (PARTITION BY tk ORDER BY no) - length(line) - 1)::BIGINT AS begin_at FROM l0),
+lines AS (SELECT DISTINCT l1.tk, copies, begin_at, line, ord || ':' || lower(regexp_replace(value, '[^A-Za-z0-9@.]', '', 'g')) AS entity FROM l1 JOIN base ON l1.tk = base.tk AND a >= begin_at AND a < begin_at + length(line) + 1),
+seen AS (SELECT DISTINCT tk, copies, entity, unnest(list_filter(list_distinct(string_split_regex(lower(line), '\P{L}+')), lambda e: length(e) >= 4)) AS term FROM lines),
+n AS (SELECT count(*) AS n FROM d),
+ne AS (SELECT entity, sum(copies) AS n_e FROM (SELECT DISTINCT tk, copies, entity FROM lines) GROUP BY entity),
+tog AS (SELECT entity, term, sum(copies) AS n_et, n_e, n, sum(copies) * pow(n::DOUBLE / n_e, 1 - 1 / 1.25::DOUBLE) * (1 + 1e-9) AS most FROM seen JOIN ne USING (entity), n WHERE n_e < n GROUP BY entity, term, n_e, n HAVING count(*) >= 3),
+nt AS (SELECT term, sum(copies) AS n_t FROM (SELECT copies, unnest(list_filter(list_distinct(string_split_regex(lower(text), '\P{L}+')), lambda e: length(e) >= 4)) AS term FROM u WHERE EXISTS (SELECT 1 FROM tog)) GROUP BY term),
+pairs AS (SELECT entity, term FROM tog JOIN nt USING (term) WHERE n_t <= most),
+marked AS (SELECT tk, begin_at, line, list(DISTINCT term) AS terms FROM lines JOIN pairs USING (entity) GROUP BY ALL),
+v AS (SELECT tk, begin_at, terms, regexp_extract_all(line, '\p{L}+') AS m, string_split_regex(line, '\p{L}+') AS g FROM marked),
+v1 AS (SELECT *, unnest(m) AS value, generate_subscripts(m, 1) AS i FROM v),
+term AS (SELECT tk, 'term' AS kind, 4 AS ord, value, begin_at + (list_sum(list_transform(g[1:i], lambda e: length(e))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda e: length(e))), 0))::BIGINT AS a FROM v1 WHERE list_contains(terms, lower(value))),
+every AS (SELECT tk, kind, ord, a, b FROM base UNION ALL SELECT tk, kind, ord, a, a + length(value) FROM term),
+r AS (SELECT tk, count(*) FILTER (ord = 0) AS n_email, count(*) FILTER (ord = 1) AS n_ip, count(*) FILTER (ord = 2) AS n_card, count(*) FILTER (ord = 3) AS n_phone, count(*) FILTER (ord = 4) AS n_term,
+  coalesce(string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, ord) FILTER (ord < 4), '') AS base, string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, ord) AS spans FROM every GROUP BY tk)
+SELECT doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone, sha256(coalesce(base, '')) AS base_sha256,
+  coalesce(spans, '') AS spans, coalesce(n_term, 0) AS n_term FROM d LEFT JOIN r USING (tk)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op7_sainte_lague_mix": MIX_SQL, "op9_line_templates": TEMPLATE_SQL}
+    return {"op3_personal_data": PRIVATE_SQL, "op7_sainte_lague_mix": MIX_SQL, "op9_line_templates": TEMPLATE_SQL}
