@@ -30,6 +30,7 @@ ORDER = 3
 #: Training sample: so many labelled documents of each language, none longer than so many bytes.
 SAMPLE_DOCS = 400
 SAMPLE_BYTES = 20_000
+SPARE = 4
 CHUNK = 1 << 20
 LETTER = re.compile(r"[^\W\d_]")
 _PAD = b"   "
@@ -147,9 +148,16 @@ def training_sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         F.col(lang_col).isNotNull() & ~held_out(F.col(id_col)) & F.col(id_col).isNotNull()
         & F.octet_length(text).between(1, SAMPLE_BYTES)
     )
+    # one count per language says below which hash some SPARE times the sample is to be expected, so that only so many
+    # rows of a language meet to be ranked, however many it has
+    counts = able.groupBy(F.col(lang_col).alias("lang")).agg(F.count("*").alias("n")).collect()
+    if not counts:
+        return able.select(F.col(id_col).alias("__id"), F.col(lang_col).alias("lang"), text.alias("text"))
+    below = F.create_map(*[F.lit(x) for r in counts for x in (r.lang, min(1.0, SPARE * SAMPLE_DOCS / r.n))])
     first = Window.partitionBy("lang").orderBy("h", "__id")
     chosen = (
-        able.select(F.col(lang_col).alias("lang"), F.col(id_col).alias("__id"), F.xxhash64(F.col(id_col)).alias("h"))
+        able.select(F.col(lang_col).alias("lang"), F.col(id_col).alias("__id"), F.pmod(F.xxhash64(F.col(id_col)), F.lit(1 << 40)).alias("h"))
+        .where(F.col("h") <= F.try_element_at(below, F.col("lang")) * (1 << 40))
         .withColumn("r", F.row_number().over(first))
         .where(F.col("r") <= SAMPLE_DOCS)
     )
