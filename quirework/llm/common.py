@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -18,12 +19,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """Folder that the driver and all executors see: ``spark.checkpoint.dir``.
 
-    Where it is unset (local tests) a folder of our own is made and set.
+    Where it is unset in a local session (tests) a folder of our own is made and
+    set; on a cluster that would be one machine's folder, so there it is an error.
     """
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir")
     if named:
         return named
+    if not re.match(r"local(\[|$)", sc.master):
+        raise RuntimeError("name a folder that the driver and all executors share in spark.checkpoint.dir")
     if sc.applicationId not in _own_dirs:
         _own_dirs[sc.applicationId] = "file://" + tempfile.mkdtemp(prefix="quirework-")
         sc.setCheckpointDir(_own_dirs[sc.applicationId])
