@@ -47,22 +47,27 @@ def number_streams(links: DataFrame, id_col: str = "word_id", prev_col: str = "p
     """``word_id, stream_id, stream_pos`` from predecessor links: the head's id and the distance from it.
 
     Pointer doubling: each round jumps twice as far, so a stream of n words takes
-    about log2(n) rounds. Words on a cycle have no head and are left out; a link
-    to a word that isn't there makes its owner a head.
+    about log2(n) rounds. As positions have no gaps, each round settles some
+    word until only words that hang on cycles are left; these have no head and
+    are left out. A link to a word that isn't there makes its owner a head.
     """
     ids = links.select(F.col(id_col).alias("k"))
     now = links.select(F.col(id_col).alias("word_id"), F.col(prev_col).alias("at"))
     now = now.join(ids, F.col("at") == F.col("k"), "left").select("word_id", F.col("k").alias("at"))
     now = now.select("word_id", F.coalesce("at", "word_id").alias("at"), F.col("at").isNotNull().cast("long").alias("n"))
+    open_before = None
     for _ in range(max_rounds):
         now = written(now, "jump")
         far = now.select(F.col("word_id").alias("k"), F.col("at").alias("at2"), F.col("n").alias("n2"))
-        nxt = now.join(far, F.col("at") == F.col("k")).select("word_id", F.col("at2").alias("at"), (F.col("n") + F.col("n2")).alias("n"), (F.col("n2") > 0).alias("moved"))
-        nxt = written(nxt, "jumped")
-        moved = nxt.agg(F.count_if("moved"), F.max("n")).first()
-        now = nxt.drop("moved")
-        if not moved[0] or moved[1] > 1 << 38:
+        now = now.join(far, F.col("at") == F.col("k")).select(
+            "word_id", F.col("at2").alias("at"), (F.col("n") + F.col("n2")).alias("n"), (F.col("n2") > 0).alias("moved")
+        )
+        now = written(now, "jumped")
+        still_open = now.where("moved").count()
+        now = now.drop("moved")
+        if still_open in (0, open_before):
             break
+        open_before = still_open
     heads = now.where("n = 0 and word_id = at").select(F.col("word_id").alias("k"))
     return now.join(heads, F.col("at") == F.col("k"), "left_semi").select("word_id", F.col("at").alias("stream_id"), F.col("n").alias("stream_pos"))
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quirework.functions.geometry import aggregate_box, box, contains, div, overlaps, point_in
 from quirework.functions.text import csv_cell, xml_escape
-from quirework.operators.streams import gaps, voted_gaps
+from quirework.operators.streams import gaps, number_streams, voted_gaps
 from quirework.plans.scratch import written
 
 TABLE = ["doc_id", "table_id"]
@@ -142,31 +142,25 @@ def compatible(labels_: DataFrame, pairs: DataFrame) -> DataFrame:
     return j.where((F.size("a") == F.size("z")) & (tail(F.col("a")) == tail(F.col("z")))).select("doc_id", "table_id", "other_id")
 
 
-def connected(links: DataFrame, max_rounds: int = 50) -> DataFrame:
+def connected(links: DataFrame) -> DataFrame:
     """``doc_id, table_id, chain, place``: tables linked by ``next_id``, named after the first of their chain.
 
-    A cycle is broken at its smallest table. Pointer doubling over written tables.
+    A cycle is broken before its smallest table. Of several tables with one
+    successor the smallest counts as its predecessor; the others end chains.
     """
-    heads = links.select("doc_id", F.col("next_id").alias("table_id")).where("table_id is not null").distinct()
-    start = links.join(heads, ["doc_id", "table_id"], "left_anti").select("doc_id", "table_id", F.col("table_id").alias("chain"), F.lit(0).cast("long").alias("place"))
-    done, front = written(start, "chains"), start
-    nxt = links.select("doc_id", F.col("table_id").alias("at"), F.col("next_id").alias("to")).where("to is not null")
-    for _ in range(max_rounds):
-        front = front.join(nxt, (front.doc_id == nxt.doc_id) & (front.table_id == nxt["at"])).select(
-            front.doc_id, F.col("to").alias("table_id"), "chain", (F.col("place") + 1).alias("place")
-        )
-        front = written(front.join(done.select("doc_id", "table_id"), ["doc_id", "table_id"], "left_anti"), "front")
-        if front.isEmpty():
-            break
-        done = written(done.unionByName(front), "chains")
-    else:
-        raise RuntimeError("a chain of tables is longer than max_rounds")
-    left = links.select("doc_id", "table_id").distinct().join(done.select("doc_id", "table_id"), ["doc_id", "table_id"], "left_anti")
+    node = lambda c: F.struct("doc_id", F.col(c).alias("table_id"))
+    before = links.where("next_id is not null").groupBy(node("next_id").alias("word_id")).agg(F.min(node("table_id")).alias("prev_id"))
+    nodes = links.select(node("table_id").alias("word_id")).distinct().join(before, "word_id", "left")
+    placed = number_streams(nodes).select(
+        F.col("word_id.doc_id").alias("doc_id"), F.col("word_id.table_id").alias("table_id"), F.col("stream_id.table_id").alias("chain"), F.col("stream_pos").alias("place")
+    )
+    placed = written(placed, "chains")
+    left = links.join(placed.select("doc_id", "table_id"), ["doc_id", "table_id"], "left_anti")
     if left.isEmpty():
-        return done
+        return placed
     least = left.groupBy("doc_id").agg(F.min("table_id").alias("m"))
-    broken = links.join(least, "doc_id").withColumn("next_id", F.when(F.col("next_id") != F.col("m"), F.col("next_id"))).drop("m")
-    return done.unionByName(connected(broken.join(left, ["doc_id", "table_id"], "left_semi"), max_rounds))
+    broken = left.join(least, "doc_id").withColumn("next_id", F.when(F.col("next_id") != F.col("m"), F.col("next_id"))).drop("m")
+    return placed.unionByName(connected(written(broken, "broken")))
 
 
 def matching_bands(bands_: DataFrame, extents: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -561,7 +561,7 @@ def table_row_labels(spark, d):
 def connected_tables(spark, d):
     t = _words(spark, d).groupBy("doc_id").agg(F.max("page_id").alias("last")).select("doc_id", F.explode(F.sequence(F.lit(0).cast("long"), "last")).alias("table_id"), "last")
     links = t.select("doc_id", "table_id", F.when(F.col("table_id") < F.col("last"), F.col("table_id") + 1).alias("next_id"))
-    return tables.connected(links, max_rounds=200)
+    return tables.connected(links)
 
 
 @query(_TW + _COLS + "SELECT a.doc_id, a.table_id, a.n, a.table_id + 1 AS other_id, count(*) AS k FROM cs a JOIN cs b ON a.doc_id = b.doc_id AND b.table_id = a.table_id + 1 AND a.n = b.n "

@@ -337,3 +337,25 @@ def test_headers(spark):
 def test_glyph_clusters(spark):
     p = spark.createDataFrame([(1, 2, 0.9), (2, 3, 0.8), (4, 5, 0.7), (3, 4, 0.1)], "a long, b long, sim double")
     assert rows(glyphs.clusters(p), "glyph", "cluster") == [(1, 1), (2, 1), (3, 1), (4, 4), (5, 4)]
+
+
+def test_streaming_windows_and_listener(spark, tmp_path):
+    data = [(i, f"2026-01-01 00:{m:02d}:00", "click") for i, m in enumerate((0, 1, 6, 7, 30))]
+    df = spark.createDataFrame(data, "event_id long, ts string, kind string").withColumn("ts", F.col("ts").cast("timestamp"))
+    df.write.parquet(str(tmp_path / "in"))
+    stream = changes.tumbling(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")), "5 minutes", watermark="1 minute")
+    q = stream.writeStream.outputMode("complete").format("memory").queryName("windows").start()
+    q.processAllAvailable()
+    q.stop()
+    assert sorted(r.n for r in spark.table("windows").collect()) == [1, 2, 2]
+    assert rows(changes.tumbling(df, "5 minutes"), "n") == [(1,), (2,), (2,)]
+    seen = []
+    q = changes.listen(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")), lambda b, i: seen.append(b.count()), str(tmp_path / "cp"))
+    q.processAllAvailable()
+    q.stop()
+    assert sum(seen) == 5
+
+
+def test_rho_shaped_links_end(spark):
+    links = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "b"), ("h", None), ("i", "h")], "word_id string, prev_id string")
+    assert rows(streams.number_streams(links), "word_id", "stream_id", "stream_pos") == [("h", "h", 0), ("i", "h", 1)]
