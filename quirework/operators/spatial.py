@@ -10,17 +10,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quirework.functions.geometry import Box, box, centre_in, contains, div, overlap_area, overlaps, point_in
+from quirework.functions.geometry import box, centre_in, contains, div, overlap_area, overlaps, point_in
 
 PAGE = ("doc_id", "page_id")
 
 
-def _paired(left: DataFrame, right: DataFrame, how: str = "inner", on=None) -> DataFrame:
+def _paired(left: DataFrame, right: DataFrame) -> DataFrame:
     """Join by page; the right side's other columns come out with prefix ``o_``."""
     named = right.select(*[F.col(c).alias(c if c in PAGE else f"o_{c}") for c in right.columns])
-    cond = [left[k] == named[k] for k in PAGE]
-    joined = left.join(named, cond + ([on] if on is not None else []), how)
-    return joined.select(*[left[c] for c in left.columns], *[named[c] for c in named.columns if c not in PAGE]) if how == "inner" else joined
+    return left.join(named, list(PAGE))
 
 
 def words_inside(words: DataFrame, boxes: DataFrame) -> DataFrame:
@@ -30,8 +28,7 @@ def words_inside(words: DataFrame, boxes: DataFrame) -> DataFrame:
 
 def binned_words_inside(words: DataFrame, boxes: DataFrame, cell: int = 200) -> DataFrame:
     """The same by grid cells: a box goes to the cells it meets, a word to the one cell of its centre."""
-    x, y = (lambda a: div(a, F.lit(cell)))(F.col("cx")), div(F.col("cy"), F.lit(cell))
-    w = words.withColumns({"gx": x, "gy": y})
+    w = words.withColumns({"gx": div(F.col("cx"), F.lit(cell)), "gy": div(F.col("cy"), F.lit(cell))})
     o = boxes.select(*[F.col(c).alias(c if c in PAGE else f"o_{c}") for c in boxes.columns])
     o = o.where("o_l < o_r and o_t < o_b")
     o = o.withColumn("gx", F.explode(F.sequence(div(F.col("o_l"), F.lit(cell)), div(F.col("o_r") - 1, F.lit(cell)))))
@@ -112,7 +109,3 @@ def adjust_contained(regions: DataFrame, band: DataFrame) -> DataFrame:
     keep_bottom = hit & (above < below)
     out = out.withColumn("new_t", F.when(keep_bottom, cut.b).otherwise(own.t)).withColumn("new_b", F.when(keep_top, cut.t).otherwise(own.b))
     return out.drop("t", "b").withColumnsRenamed({"new_t": "t", "new_b": "b"}).select(*regions.columns).distinct()
-
-
-def page_box(b: Box) -> list:
-    return [b.l, b.r, b.t, b.b]

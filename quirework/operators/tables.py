@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quirework.functions.geometry import aggregate_box, box, contains, div, overlaps, point_in
+from quirework.functions.geometry import Box, box, contains, overlaps, point_in
 from quirework.functions.text import csv_cell, xml_escape
 from quirework.operators.streams import gaps, number_streams, voted_gaps
 from quirework.plans.scratch import written
@@ -60,7 +60,7 @@ def cells(rows: DataFrame, columns: DataFrame, existing: DataFrame | None = None
     if existing is None:
         return grid.withColumn("cell_id", new_id)
     o = existing.select(*key, F.col("cell_id").alias("o_id"), *[F.col(c).alias(f"o_{c}") for c in "lrtb"])
-    j = grid.join(o, [grid[k] == o[k] for k in key] + [contains(box("o_"), Box_of(grid))], "left").drop(*[o[k] for k in key])
+    j = grid.join(o, [grid[k] == o[k] for k in key] + [contains(box("o_"), Box(*[grid[c] for c in "lrtb"]))], "left").drop(*[o[k] for k in key])
     same = (F.col("o_l") == F.col("l")) & (F.col("o_r") == F.col("r")) & (F.col("o_t") == F.col("t")) & (F.col("o_b") == F.col("b"))
     pick = Window.partitionBy(*key, "row", "col").orderBy(F.coalesce(same, F.lit(False)).desc(), "o_t", "o_l", "o_id")
     j = j.withColumn("k", F.row_number().over(pick)).where("k = 1")
@@ -68,12 +68,6 @@ def cells(rows: DataFrame, columns: DataFrame, existing: DataFrame | None = None
     return j.select(*key, "row", "col", *[take(c) for c in "lrtb"], F.coalesce("o_id", new_id).alias("cell_id"))
 
 
-def Box_of(df: DataFrame):
-    from quirework.functions.geometry import Box
-
-    return Box(*[df[c] for c in "lrtb"])
-
-
 def spurious(existing: DataFrame, used: DataFrame, key: list[str] = TABLE) -> DataFrame:
     return existing.join(used.select(*key, "cell_id"), [*key, "cell_id"], "left_anti")
 
@@ -266,7 +260,3 @@ def combined_grid(cells_: DataFrame, chains: DataFrame, header: int = 1) -> Data
     number = Window.partitionBy("doc_id", "chain").orderBy("place", "row")
     rows = rows.withColumn("grid_row", (F.row_number().over(number) - 1).cast("long"))
     return j.join(rows, ["doc_id", "chain", "place", "row"])
-
-
-def half(x: Column) -> Column:
-    return div(x, F.lit(2))

@@ -313,7 +313,8 @@ def streams_word_by_word(spark, d):
     return streams.interleaved(_two_streams(spark, d), "raw")
 
 
-@query()
+@query("WITH c AS (SELECT DISTINCT conv_id, turn FROM conversations), k AS (SELECT conv_id, turn, conv_id || '-' || lpad(turn::VARCHAR, 6, '0') AS word_id FROM c) "
+       "SELECT word_id, first_value(word_id) OVER w AS stream_id, row_number() OVER w - 1 AS stream_pos FROM k WINDOW w AS (PARTITION BY conv_id ORDER BY turn)", tokens=False)
 def streams_numbered(spark, d):
     """Streams from predecessor links by pointer doubling: conversations, turn by turn."""
     c = _table(spark, d, "conversations").select("conv_id", "turn").distinct()
@@ -393,7 +394,12 @@ def numeric_cell_fix(spark, d):
     return o.select("o_orderkey", tx.fix_number(raw).alias("fixed"), tx.csv_cell(F.concat("o_orderpriority", F.lit('"x'))).alias("csv"))
 
 
-@query()
+_HASH = "list_reduce(list_transform(string_split({0}, ''), lambda x: ascii(x)::BIGINT), lambda a, x: (a * 31 + x) % 4294967296)"
+
+
+@query(f", h AS (SELECT *, {_HASH.format('type')} AS a1, page_id * 65536 + 65535 AS a2, l * 65536 + t AS a3, r * 65536 + b AS a4, {_HASH.format('doc_id::VARCHAR')} AS k FROM blocks) "
+       "SELECT doc_id, page_id, n, type || '@' || page_id || '.[' || l || ',' || r || ',' || t || ',' || b || ']' AS id, format('{:08X}{:08X}{:08X}{:08X}', a1, a2, a3, a4) AS uid, "
+       "format('{:08X}{:08X}{:08X}{:08X}', xor(a1, k), xor(a2, k), xor(a3, k), xor(a4, k)) AS uuid FROM h")
 def uid_uuid(spark, d):
     b = layout.blocks(_words(spark, d))
     uid = ids.local_uid(F.col("type"), F.col("page_id"), F.lit(-1), box())

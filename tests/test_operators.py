@@ -359,3 +359,25 @@ def test_streaming_windows_and_listener(spark, tmp_path):
 def test_rho_shaped_links_end(spark):
     links = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "b"), ("h", None), ("i", "h")], "word_id string, prev_id string")
     assert rows(streams.number_streams(links), "word_id", "stream_id", "stream_pos") == [("h", "h", 0), ("i", "h", 1)]
+
+
+def test_similar_glyphs_equal_brute_force(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(12)
+    base = rng.integers(0, 256, (8, 8), dtype=np.uint8)
+    data = []
+    for i in range(40):
+        x = base[i % 8].copy()
+        x[rng.integers(0, 8)] ^= 1 << rng.integers(0, 8)
+        data.append((i, x.tobytes().hex().upper(), 8))
+    got = {(r.a, r.b): r.sim for r in glyphs.similar_pairs(spark.createDataFrame(data, "glyph_id long, image string, width int"), 0.7).collect()}
+    maps = [glyphs._bitmap(im, w) for _, im, w in data]
+    size = [tuple(np.ptp(np.nonzero(m), axis=1)) for m in maps]
+    want = {}
+    for a in range(40):
+        for b in range(a + 1, 40):
+            s = glyphs.similarity(maps[a], maps[b])
+            if s >= 0.7 and all(abs(int(p) - int(q)) <= 2 for p, q in zip(size[a], size[b])):
+                want[a, b] = s
+    assert set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-12 for k in got) and len(got) > 40
