@@ -20,9 +20,14 @@ def _n(x) -> Column:
 
 
 def words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``doc_id, page_id, pos, line, col, l, r, t, b, cx, cy, str, rel, direction, font_size, bold``."""
+    """``doc_id, page_id, pos, line, col, l, r, t, b, cx, cy, str, rel, direction, font_size, bold``.
+
+    Texts are dealt by document before they become words: windows and groups
+    within documents then need no exchange of the much larger word rows.
+    """
     tokens = F.filter(F.split("text", r"\s+"), lambda x: x != "")
-    w = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.posexplode(tokens).alias("i", "str"))
+    texts = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").repartition("doc_id")
+    w = texts.select("doc_id", F.posexplode(tokens).alias("i", "str"))
     i = F.col("i").cast("long")
     on_page = i % 400
     w = w.select(
