@@ -207,9 +207,14 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 
 
 def keep_identified(docs: DataFrame, least: float = 0.5, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """Rows of ``docs`` whose language is told with at least that score; columns unchanged."""
+    """Rows of ``docs`` whose language is told with at least that score; columns unchanged.
+
+    Where no label can be learned from, nothing can be told and nothing is rejected.
+    """
     names = docs.columns
     model = train(docs, id_col=id_col, text_col=text_col, lang_col=lang_col)
+    if not model.langs:
+        return docs
     plain = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)])
     at = [c.lower() for c in names].index(text_col.lower())
     found = with_language(plain, model, f"c{at}").where((F.col("lang_pred") != "und") & (F.col("score") >= least))
