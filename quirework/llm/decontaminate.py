@@ -7,11 +7,13 @@ windows within few edits give embeddings within few differing places. LSH keys
 are a few sampled places of the embedding, always with the first one; each
 repetition has a walk and a sample of its own.
 
-All samples lie in the walk's first STEPS places, which depend on no more than
-the window's first STEPS words. One walk from a word therefore serves the
-item-sized windows of all items there, and every suffix of an item is hashed as
-a window too, so the samples reach all parts of it. Windows whose first sampled
-places fit no item are dropped on the way; that loses no key match.
+All samples lie in the walk's first steps, which depend on no more words than
+steps. One walk from a word therefore serves the item-sized windows of all
+items there, and every suffix of an item in which the walk's samples stay is
+hashed as a window too, so the samples reach all parts of it. Short items have
+short walks (WALKS), so that some windows miss an edited word wherever it is.
+Windows whose first sampled places fit no item are dropped on the way; that
+loses no key match.
 
 Each candidate's whole item-sized region is then verified by edit distance over
 characters (bit-parallel, best substring): a hit has at most
@@ -31,11 +33,13 @@ from pyspark.sql import functions as F
 SIMILARITY = 0.8
 #: Items with fewer words than this can't be told from chance and aren't searched.
 LEAST_WORDS = 5
-STEPS = 16
-SAMPLES = 11
-REPETITIONS = 6
-#: A walk that lingers shows few words; windows of items whose samples show fewer are left to other repetitions.
-LEAST_SEEN = 5
+#: For items of so many words or more: steps of a walk, samples in them, words that the samples show at least, repetitions.
+#: A walk that lingers shows few words; its window is left to other repetitions. Chosen for RECALL, see there.
+WALKS = ((5, 4, 3, 2, 12), (8, 6, 4, 2, 12), (12, 8, 6, 3, 10), (18, 10, 7, 4, 8), (28, 16, 11, 5, 6))
+#: Least share found of copies that stay at SIMILARITY, at any item length, with one word replaced, added or left out
+#: (the first one included) or with 10 % of the words replaced; held by the tests.
+RECALL = 0.95
+STEPS = max(w[1] for w in WALKS)
 SEED = 5
 CHUNK = 400_000
 #: Items are searched in slices of at most so many bytes of text, each sent to all executors.
@@ -148,41 +152,43 @@ class Searcher:
         n = len(vocabulary) + 1
         rng = np.random.default_rng(SEED)
         flat: list[int] = []
-        #: place, item and offset of every hashed window, by the steps that the walk surely stays in it
-        windows: dict[int, list[tuple[int, int, int]]] = {}
+        #: items by their walks; place, item and offset of all their suffixes, and the place at which the item ends
+        suffixes: dict[int, list[tuple[int, int, int, int]]] = {}
         for k, ws in enumerate(self.words):
-            steps = min(STEPS, len(ws))
-            windows.setdefault(steps, []).extend((len(flat) + o, k, o) for o in range(len(ws) - steps + 1))
+            walk = max(i for i, w in enumerate(WALKS) if len(ws) >= w[0])
+            end = len(flat) + len(ws)
+            suffixes.setdefault(walk, []).extend((len(flat) + o, k, o, end) for o in range(len(ws)))
             flat += [vocabulary[w] for w in ws]
         x = np.array(flat + [0] * STEPS, np.int32)
-        self.first = np.zeros(n, bool)
         self.reps = []
-        for steps, listed_windows in sorted(windows.items()):
-            starts, where, offset = np.array(listed_windows, np.int64).T
-            self.first[x[starts]] = True
-            for r in range(REPETITIONS):
+        for walk, listed_suffixes in sorted(suffixes.items()):
+            _, steps, samples, least, repetitions = WALKS[walk]
+            starts, where, offset, end = np.array(listed_suffixes, np.int64).T
+            for r in range(repetitions):
                 bits = np.stack([(_hash(SEED, r, t, np.arange(n)) >> np.uint64(40)).astype(np.uint8) & 1 for t in range(STEPS)])
-                second = 2 + r % min(3, steps - 4)
-                later = np.sort(rng.choice(np.arange(second + 1, steps), min(SAMPLES - 2, steps - second - 1), replace=False))
+                second = 2 + r % min(3, steps - 3)
+                later = np.sort(rng.choice(np.arange(second + 1, steps), min(samples - 2, steps - second - 1), replace=False))
                 rep = {"bits": bits, "places": [0, second, *later.tolist()]}
                 early, keys = self._keys(x, starts, rep, None)
-                told = self._words_seen(x, starts, rep) >= min(LEAST_SEEN, steps // 2)
-                table = np.zeros(_MASK + 1, bool)
+                seen, last = self._words_seen(x, starts, rep)
+                told = (seen >= least) & (last < end)
+                first, table = np.zeros(n, bool), np.zeros(_MASK + 1, bool)
+                first[x[starts[told]]] = True
                 table[early[told]] = True
                 order = np.flatnonzero(told)[np.argsort(keys[told], kind="stable")]
-                rep |= {"early": table, "keys": keys[order], "where": where[order], "offset": offset[order]}
+                rep |= {"first": first, "early": table, "keys": keys[order], "where": where[order], "offset": offset[order]}
                 self.reps.append(rep)
 
     @staticmethod
-    def _words_seen(x: np.ndarray, starts: np.ndarray, rep: dict) -> np.ndarray:
-        """How many places of the text the sampled steps of each walk look at."""
+    def _words_seen(x: np.ndarray, starts: np.ndarray, rep: dict) -> tuple[np.ndarray, np.ndarray]:
+        """How many places of the text the sampled steps of each walk look at, and the last of them."""
         at, last, seen = starts.copy(), np.full(len(starts), -1), np.zeros(len(starts), np.int64)
         for t in range(rep["places"][-1] + 1):
             if t in rep["places"]:
                 seen += at != last
                 last = at.copy()
-            at += rep["bits"][t][x[at]]
-        return seen
+            at = np.minimum(at + rep["bits"][t][x[at]], len(x) - 1)
+        return seen, last
 
     @staticmethod
     def _keys(x: np.ndarray, starts: np.ndarray, rep: dict, early: np.ndarray | None):
@@ -209,10 +215,10 @@ class Searcher:
 
     def candidates(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """``(place, item)`` pairs: word places at which an item would begin, were there no insertions or deletions."""
-        starts = np.flatnonzero(self.first[x])
-        starts = starts[starts < len(x) - STEPS]
         found = [(np.empty(0, np.int64), np.empty(0, np.int64))]
+        inner = x[: max(len(x) - STEPS, 0)]
         for rep in self.reps:
+            starts = np.flatnonzero(rep["first"][inner])
             left, keys = self._keys(x, starts, rep, rep["early"])
             lo = np.searchsorted(rep["keys"], keys, "left")
             n = np.searchsorted(rep["keys"], keys, "right") - lo
