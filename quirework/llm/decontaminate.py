@@ -213,9 +213,9 @@ class Searcher:
             key = _hash(key, x[at])
         return (code if early is None else left), key
 
-    def candidates(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """``(place, item)`` pairs: word places at which an item would begin, were there no insertions or deletions."""
-        found = [(np.empty(0, np.int64), np.empty(0, np.int64))]
+    def candidates(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``(start, item, offset)``: places of windows that share a key with an item's window at the offset."""
+        found = [(np.empty(0, np.int64),) * 3]
         inner = x[: max(len(x) - STEPS, 0)]
         for rep in self.reps:
             starts = np.flatnonzero(rep["first"][inner])
@@ -226,9 +226,8 @@ class Searcher:
             lo, n = lo[hit], n[hit]
             each = np.repeat(np.arange(len(hit)), n)
             entry = lo[each] + np.arange(len(each)) - np.repeat(np.cumsum(n) - n, n)
-            found.append((starts[left[hit[each]]] - rep["offset"][entry], rep["where"][entry]))
-        pairs = np.unique(np.stack([np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])], 1), axis=0)
-        return pairs[:, 0], pairs[:, 1]
+            found.append((starts[left[hit[each]]], rep["where"][entry], rep["offset"][entry]))
+        return tuple(np.concatenate(c) for c in zip(*found))
 
     def search(self, texts: list[str | None]) -> list[tuple[int, int, int, float, int, int]]:
         """``(text, item, distance, similarity, start, end)``: each text's best match of each item found in it."""
@@ -257,9 +256,11 @@ class Searcher:
         rank = np.concatenate([[0], np.cumsum(real)])
         begins = rank[[s for s, _ in spans]]
         ends = rank[[e for _, e in spans]]
-        place, item = self.candidates(x)
-        doc = np.searchsorted(begins, np.clip(place, 0, None), "right") - 1
-        doc = np.where(place < 0, 0, doc)
+        start, item, offset = self.candidates(x)
+        # the document is where the window lies: an item cut off at its front would begin before the document
+        doc = np.searchsorted(begins, start, "right") - 1
+        place = np.maximum(start - offset, begins[doc])
+        doc, item, place = np.unique(np.stack([doc, item, place]), axis=1)
         out = []
         order = np.lexsort((place, item, doc))
         words, current, a = _Words("", np.empty(0, np.int64)), -1, 0

@@ -38,3 +38,17 @@ def test_recall_by_item_length(words):
         want = {i for i, t in enumerate(texts) if decontaminate.best_substring(s.texts[i], t)[0] <= 0.2 * len(s.texts[i]) + 1e-9}
         got = {d for d, k, *_ in s.search(texts) if d == k}
         assert len(want) > 30 and len(want & got) >= decontaminate.RECALL * len(want), (name, len(want & got), len(want))
+
+
+def test_texts_that_begin_or_end_inside_an_item_whatever_their_neighbours():
+    rng = random.Random(3)
+    items = [_prose(rng, n) for n in (38, 30, 20)]
+    s = decontaminate.Searcher([(i, " ".join(w)) for i, w in enumerate(items)])
+    cut = {i: [" ".join(w[len(w) // 8 :] + _prose(rng, 30)), " ".join(_prose(rng, 30) + w[: -(len(w) // 8)])] for i, w in enumerate(items)}
+    for i, texts in cut.items():
+        for t in texts:
+            assert decontaminate.best_substring(s.texts[i], t)[0] <= 0.2 * len(s.texts[i])
+            alone = s.search([t])
+            assert [k for _, k, *_ in alone] == [i]
+            for before in ("", "one", " ".join(_prose(rng, 200)), " ".join(items[i])):
+                assert [h[1:] for h in s.search([before, t, before]) if h[0] == 1] == [h[1:] for h in alone]
