@@ -4,8 +4,9 @@ A line's tokens with digits are variable fields, written ``<*>``. The tree has
 one level for the token count and one for each of the DEPTH leading tokens;
 lines meet in its leaves. In a leaf, the line that most texts hold founds a
 template, and lines that agree with it in SIMILAR of their tokens belong to it,
-their differing tokens being variable fields too; what is left founds a second
-template in the same way, and remaining lines stand for themselves. A template
+their differing tokens being variable fields too; what is left founds further
+templates in the same way, until no leaf has two open lines that three texts may
+hold, and remaining lines stand for themselves. A template
 that occurs in LEAST_TEXTS distinct texts or more recurs, and its lines are
 dropped everywhere. Lines of fewer than LEAST_TOKENS tokens are never dropped.
 
@@ -15,7 +16,7 @@ fetched only for leaves in which lines could join.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quirework.llm.common import materialize
@@ -24,7 +25,9 @@ DEPTH = 3
 SIMILAR = 0.7
 LEAST_TEXTS = 3
 LEAST_TOKENS = 4
+#: Rounds that found one template a leaf; later ones found those of so many lines at once, four times as many each round.
 ROUNDS = 2
+FIRST_LINES, MOST_LINES = 8, 1024
 FIELD = "<*>"
 
 
@@ -52,6 +55,31 @@ def _lines(texts: DataFrame) -> DataFrame:
     return rows.select("text_key", "pos", F.md5(F.col("x.masked").cast("binary")).alias("line_key"), leaf.alias("leaf"), F.col("x.masked").alias("masked"))
 
 
+def _similar(a, b):
+    same = F.aggregate(F.zip_with(a, b, lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
+    return same >= F.size(a) * SIMILAR
+
+
+def _still_open(lines: DataFrame) -> DataFrame:
+    """Lines of leaves in which a template may yet have several lines and recur."""
+    leaves = lines.groupBy("leaf").agg(F.count("*").alias("lines"), F.sum("n").alias("texts"))
+    return lines.join(leaves.where((F.col("lines") > 1) & (F.col("texts") >= LEAST_TEXTS)).select("leaf"), "leaf", "left_semi")
+
+
+def _founders(lines: DataFrame, most: int) -> DataFrame:
+    """``leaf, founders``: of each leaf's ``most`` first lines, those that join none before them, in order.
+
+    Founding one template after the other gives the same: whether a line founds depends on the lines before it only.
+    """
+    w = Window.partitionBy("leaf").orderBy(F.col("n").desc(), "line_key")
+    top = lines.withColumn("k", F.row_number().over(w)).where(F.col("k") <= most)
+    top = top.select("leaf", F.struct("k", "line_key", F.split("masked", " ").alias("model")).alias("f"))
+    top = top.groupBy("leaf").agg(F.array_sort(F.collect_list("f")).alias("top"))
+    none = F.slice("top", 1, 0)
+    joins = lambda acc, x: F.exists(acc, lambda f: _similar(x["model"], f["model"]))
+    return top.select("leaf", F.aggregate("top", none, lambda acc, x: F.when(joins(acc, x), acc).otherwise(F.concat(acc, F.array(x)))).alias("founders"))
+
+
 def recurring(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``(occurrences, dropped)`` for rows ``text``.
 
@@ -73,12 +101,20 @@ def recurring(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     for _ in range(ROUNDS):
         founder = open_.groupBy("leaf").agg(F.min(F.struct((-F.col("n")).alias("n"), "line_key", "masked")).alias("f"))
         mates = open_.join(founder.select("leaf", F.col("f.line_key").alias("template"), F.col("f.masked").alias("model")), "leaf")
-        a, b = F.split("masked", " "), F.split("model", " ")
-        same = F.aggregate(F.zip_with(a, b, lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
-        mates = materialize(mates.withColumn("joins", same >= F.size(a) * SIMILAR), "mates")
+        joins = _similar(F.split("masked", " "), F.split("model", " "))
+        mates = materialize(mates.withColumn("joins", joins), "mates")
         joined = mates.where("joins").select("line_key", "template")
         assigned = joined if assigned is None else assigned.union(joined)
         open_ = mates.where("not joins").select("line_key", "leaf", "masked", "n")
+    most = FIRST_LINES
+    open_ = materialize(_still_open(open_), "open")
+    while not open_.isEmpty():
+        mates = open_.join(_founders(open_, most), "leaf")
+        first = F.get(F.filter("founders", lambda f: _similar(F.split("masked", " "), f["model"])), F.lit(0))
+        mates = materialize(mates.select("line_key", "leaf", "masked", "n", first["line_key"].alias("template")), "mates")
+        assigned = assigned.union(mates.where("template is not null").select("line_key", "template"))
+        open_ = materialize(_still_open(mates.where("template is null").drop("template")), "open")
+        most = min(4 * most, MOST_LINES)
     # a template's texts are counted once each, however many of its lines they hold
     grouped = (
         occ.join(assigned, "line_key").select("template", "text_key").distinct().groupBy("template").agg(F.count("*").alias("n"))
