@@ -86,20 +86,18 @@ SELECT doc_id, size, source_size, target, (size * times)::BIGINT AS taken, times
 
 
 TEMPLATE_SQL = r"""
-WITH t AS (SELECT DISTINCT md5(text) AS tk, text FROM documents WHERE text IS NOT NULL),
+WITH RECURSIVE t AS (SELECT DISTINCT md5(text) AS tk, text FROM documents WHERE text IS NOT NULL),
 l0 AS (SELECT tk, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM t),
 l1 AS (SELECT *, trim(regexp_replace(line, '[\x20\x09-\x0D]{2,}|[\x09-\x0D]', ' ', 'g'), ' ') AS plain FROM l0),
 l2 AS (SELECT tk, pos, line, CASE WHEN regexp_matches(plain, '[0-9]') THEN array_to_string(list_transform(string_split(plain, ' '),
   lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END), ' ') ELSE plain END AS masked FROM l1),
 l AS (SELECT *, len(string_split(masked, ' ')) || ':' || array_to_string(string_split(masked, ' ')[1:3], ' ') AS leaf FROM l2 WHERE masked <> '' AND len(string_split(masked, ' ')) >= 4),
 per AS (SELECT masked, leaf, count(DISTINCT tk) AS n FROM l GROUP BY ALL),
-o1 AS (SELECT * FROM per WHERE leaf IN (SELECT leaf FROM per GROUP BY leaf HAVING count(*) > 1 AND sum(n) >= 3)),
-f1 AS (SELECT leaf, masked AS model FROM (SELECT *, row_number() OVER (PARTITION BY leaf ORDER BY n DESC, md5(masked)) AS k FROM o1) WHERE k = 1),
-j1 AS (SELECT o1.*, model, list_sum(list_transform(list_zip(string_split(masked, ' '), string_split(model, ' ')), lambda z: (z[1] = z[2])::INT)) >= len(string_split(masked, ' ')) * 0.7::DOUBLE AS joins FROM o1 JOIN f1 USING (leaf)),
-o2 AS (SELECT masked, leaf, n FROM j1 WHERE NOT joins),
-f2 AS (SELECT leaf, masked AS model FROM (SELECT *, row_number() OVER (PARTITION BY leaf ORDER BY n DESC, md5(masked)) AS k FROM o2) WHERE k = 1),
-j2 AS (SELECT o2.*, model, list_sum(list_transform(list_zip(string_split(masked, ' '), string_split(model, ' ')), lambda z: (z[1] = z[2])::INT)) >= len(string_split(masked, ' ')) * 0.7::DOUBLE AS joins FROM o2 JOIN f2 USING (leaf)),
-assigned AS (SELECT masked, model FROM j1 WHERE joins UNION ALL SELECT masked, model FROM j2 WHERE joins),
+r(masked, leaf, n, model) AS (SELECT masked, leaf, n, NULL::VARCHAR FROM per WHERE leaf IN (SELECT leaf FROM per GROUP BY leaf HAVING count(*) > 1 AND sum(n) >= 3)
+  UNION ALL SELECT masked, leaf, n, CASE WHEN list_sum(list_transform(list_zip(string_split(masked, ' '), string_split(founder, ' ')), lambda z: (z[1] = z[2])::INT)) >= len(string_split(masked, ' ')) * 0.7::DOUBLE THEN founder END
+  FROM (SELECT *, first_value(masked) OVER (PARTITION BY leaf ORDER BY n DESC, md5(masked)) AS founder, count(*) OVER (PARTITION BY leaf) AS lines, sum(n) OVER (PARTITION BY leaf) AS texts FROM r WHERE model IS NULL)
+  WHERE lines > 1 AND texts >= 3),
+assigned AS (SELECT masked, model FROM r WHERE model IS NOT NULL),
 often AS (SELECT model FROM l JOIN assigned USING (masked) GROUP BY model HAVING count(DISTINCT tk) >= 3),
 dropped AS (SELECT masked FROM assigned WHERE model IN (SELECT model FROM often) UNION SELECT masked FROM per WHERE n >= 3 AND masked NOT IN (SELECT masked FROM assigned)),
 gone AS (SELECT DISTINCT tk, pos FROM l WHERE masked IN (SELECT masked FROM dropped)),

@@ -21,7 +21,7 @@ def test_any_number_of_templates_in_a_leaf(spark):
     got = line_templates.drop_templates(spark.createDataFrame(rows, "doc_id long, text string")).orderBy("doc_id").toPandas()
     # one template after the other, in plain Python
     _, dropped = line_templates.recurring(spark.createDataFrame([(t,) for _, t in rows], "text string"))
-    keys = {r.m: r.k for r in spark.createDataFrame([(t,) for t in texts], "m string").select("m", F.md5(F.col("m").cast("binary")).alias("k")).collect()}
+    keys = {r.m: r.k for r in spark.createDataFrame([(t,) for t in texts], "m string").select("m", F.unhex(F.md5(F.col("m").cast("binary"))).alias("k")).collect()}
     left, gone = sorted(set(texts), key=lambda t: keys[t]), {}
     while left:
         model = left[0].split(" ")
