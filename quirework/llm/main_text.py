@@ -1,12 +1,15 @@
 """Main-text extraction from web pages by two-pass block rules.
 
-A page is cut into blocks at block-level tags. Pass one decides blocks by
-markup (menus, footers, forms, adverts and the like are out), length, link
-density and stop-word density; short blocks and blocks of middling density stay
-open. Pass two gives each open block the label of its nearest decided
-neighbour. Where a page marks its article (or main part), only that part can
-hold main text and an undecided neighbourhood counts for a block rather than
-against it.
+A page is cut into blocks at block-level tags. Pass one labels every block by
+rules: link density, length and stop-word density make it good, bad or, if it
+is short or of middling density, leave it open; markup that says menu, footer,
+form, advert, comment and the like takes it out. Pass two gives each open block
+the label of its nearest decided neighbour.
+
+Markup for the article (or main part) is one feature more: it is believed if
+pass one finds at least half of the page's good text inside. Then only that part
+can hold main text, less density makes its blocks good, and an undecided
+neighbourhood counts for a block rather than against it.
 """
 
 from __future__ import annotations
@@ -19,10 +22,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Code points below which a block is short, and from which it is long.
 SHORT = 70
 LONG = 200
-STOP_LOW = 0.30
-STOP_HIGH = 0.32
+#: Share of stop words that makes a long block, a middling one, and one in a believed article good; below the last it is bad.
+STOP_LONG = 0.20
+STOP_MIDDLING = 0.25
+STOP_ARTICLE = 0.10
+STOP_LEAST = 0.05
 LINKS_MOST = 0.5
 
 # Function words of English, German, French and Spanish.
@@ -56,7 +63,13 @@ OUT_WORDS = frozenset(
     masthead topbar comment comments commentlist reply replies respond disqus share sharing social related recommended
     newsletter subscribe popup modal overlay widget widgets login signup pagination pager toolbar copyright""".split()
 )
-KEPT = frozenset("html body main article".split())
+KEPT = frozenset("html body main".split())
+#: An article's own classes name topics too, so only these say that it is no page's article.
+NO_ARTICLE = frozenset(
+    """comment comment-body comment-item comment-entry comment-content comments reply review ad ads advert advertisement
+    sponsored promo promotion related teaser widget""".split()
+)
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 CLOSES = {
     "p": frozenset("p".split()), "li": frozenset("li".split()), "dt": frozenset("dt dd".split()),
     "dd": frozenset("dt dd".split()), "tr": frozenset("tr td th".split()), "td": frozenset("td th".split()),
@@ -64,24 +77,62 @@ CLOSES = {
 }
 SCOPE = frozenset("ul ol table article section div main body aside nav footer header form td th blockquote".split())
 
-_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>")
+_PARAGRAPH = frozenset(["p"])
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]{0,4096}\"|'[^']{0,4096}')*+)>")
 _ATTR = re.compile(r"([^\s=\"'>/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _WORD = re.compile(r"[^\W\d_]+")
 _PIECE = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
 
 
 class Block:
-    __slots__ = ("parts", "linked", "out", "inside", "open_header", "heading")
+    __slots__ = ("parts", "linked", "out", "inside", "heading")
 
-    def __init__(self, out: bool, inside: bool, open_header: bool, heading: bool):
+    def __init__(self, out: bool, inside: bool, heading: bool):
         self.parts: list[str] = []
         self.linked = 0
-        self.out, self.inside, self.open_header, self.heading = out, inside, open_header, heading
+        self.out, self.inside, self.heading = out, inside, heading
 
     def text(self) -> str:
         return " ".join("".join(self.parts).split())
 
 
+class _Open:
+    """The open elements, with counts and places kept up to date, so that no question walks through them."""
+
+    def __init__(self) -> None:
+        self.stack: list[tuple[str, bool, bool, int]] = []
+        self.places: dict[str, list[int]] = {}
+        self.out = self.articles = self.headings = 0
+
+    def push(self, name: str, out: bool, article: bool) -> None:
+        at = len(self.stack)
+        scope = at if name in SCOPE else self.stack[-1][3] if at else -1
+        self.stack.append((name, out, article, scope))
+        self.places.setdefault(name, []).append(at)
+        self.out += out
+        self.articles += article
+        self.headings += name in HEADINGS
+
+    def cut(self, at: int) -> None:
+        """Closes all elements from that place on."""
+        while len(self.stack) > at:
+            name, out, article, _ = self.stack.pop()
+            self.places[name].pop()
+            self.out -= out
+            self.articles -= article
+            self.headings -= name in HEADINGS
+
+    def close(self, name: str) -> None:
+        if self.places.get(name):
+            self.cut(self.places[name][-1])
+
+    def close_implied(self, names: frozenset[str]) -> None:
+        """Closes the innermost of these names if no scope was opened within it."""
+        at = max((p[-1] for n in names if (p := self.places.get(n))), default=-1)
+        if at >= 0 and at > self.stack[-1][3]:
+            self.cut(at)
+
+
 def _marked_out(name: str, attrs: str, in_article: bool) -> bool:
     if name in OUT or name == "header" and not in_article:
         return True
@@ -97,20 +148,24 @@ def _marked_out(name: str, attrs: str, in_article: bool) -> bool:
             return True
         if key == "style" and re.search(r"display\s*:\s*none", value):
             return True
+        if key == "itemtype" and value.lower().endswith("/comment"):
+            return True
         if key in ("class", "id"):
+            if name == "article":
+                if NO_ARTICLE.intersection(value.lower().split()):
+                    return True
+                continue
             words = {w.lower() for w in _PIECE.findall(value)}
             if words & OUT_WORDS or not in_article and "header" in words:
                 return True
     return False
 
 
-def blocks_of(page: str) -> tuple[list[Block], bool]:
-    """The page's blocks in order, and whether some part is marked as article or main."""
+def blocks_of(page: str) -> list[Block]:
+    """The page's blocks in order; time grows with the page, however deep its elements are nested."""
     found: list[Block] = []
-    #: open elements: name, marks out, starts the article, header in the article
-    stack: list[tuple[str, bool, bool, bool]] = []
+    open_ = _Open()
     now: Block | None = None
-    marked = False
     links = 0
     at, n = 0, len(page)
 
@@ -120,10 +175,7 @@ def blocks_of(page: str) -> tuple[list[Block], bool]:
         if now is None:
             if not s.strip():
                 return
-            now = Block(
-                any(e[1] for e in stack), any(e[2] for e in stack), any(e[3] for e in stack),
-                any(e[0] in ("h1", "h2", "h3", "h4", "h5", "h6") for e in stack),
-            )
+            now = Block(open_.out > 0, open_.articles > 0, open_.headings > 0)
             found.append(now)
         now.parts.append(s)
         if links:
@@ -163,10 +215,7 @@ def blocks_of(page: str) -> tuple[list[Block], bool]:
         if closing:
             if name == "a":
                 links = 0
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    del stack[k:]
-                    break
+            open_.close(name)
             continue
         if name in RAW:
             end = re.compile(rf"</{name}\s*>?", re.IGNORECASE).search(page, at)
@@ -178,83 +227,69 @@ def blocks_of(page: str) -> tuple[list[Block], bool]:
             links = 1
             continue
         if name in CLOSES:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] in CLOSES[name]:
-                    del stack[k:]
-                    break
-                if stack[k][0] in SCOPE:
-                    break
+            open_.close_implied(CLOSES[name])
         elif name in BLOCK:
-            for k in range(len(stack) - 1, -1, -1):  # a block tag ends an open paragraph
-                if stack[k][0] == "p":
-                    del stack[k:]
-                    break
-                if stack[k][0] in SCOPE:
-                    break
-        in_article = any(e[2] for e in stack)
-        starts = name in ("article", "main") or 'role="main"' in attrs
+            open_.close_implied(_PARAGRAPH)  # a block tag ends an open paragraph
+        in_article = open_.articles > 0
         out = _marked_out(name, attrs, in_article)
-        if starts and not out and not any(e[1] for e in stack):
-            marked = True
+        starts = (name in ("article", "main") or 'role="main"' in attrs) and not out and not open_.out
         if name in BLOCK or out:
-            stack.append((name, out, starts, name == "header" and in_article))
-    return found, marked
+            open_.push(name, out, starts)
+    return found
 
 
-def main_text(page: str | None) -> str:
-    """Main text of one page; empty for null and empty pages and where nothing qualifies."""
-    if not page:
-        return ""
-    blocks, marked = blocks_of(page)
-    texts, labels = [], []
-    for b in blocks:
-        t = b.text()
-        texts.append(t)
-        labels.append(_first_label(b, t, marked))
-    # pass two: None is open; "out" (by markup) is no neighbour, since it says nothing about the text around it
-    kept = []
+def _rule_label(b: Block, text: str, article: bool) -> str | None:
+    """Pass one: good, bad, out (by markup) or None (open); ``article``: the block lies in an article that is believed."""
+    n = len(text)
+    if b.out or not n:
+        return "out"
+    if b.linked > LINKS_MOST * n:
+        return "bad"
+    if not article and ("\N{COPYRIGHT SIGN}" in text or n < SHORT and b.linked):
+        return "bad"
+    if n < SHORT:
+        return None
+    words = _WORD.findall(text.lower())
+    stop = sum(w in STOP_WORDS for w in words) / max(len(words), 1)
+    if article:
+        return "good" if stop >= STOP_ARTICLE else None
+    if stop >= (STOP_LONG if n >= LONG else STOP_MIDDLING):
+        return "good"
+    return "bad" if stop < STOP_LEAST else None
+
+
+def _inherited(labels: list[str | None], blocks: list[Block], undecided: str) -> list[str]:
+    """Pass two: open blocks take the label of the nearest decided block; of two different ones as near, a heading is good."""
+    # "out" is no neighbour, since markup says nothing about the text around it
     decided = [i for i, x in enumerate(labels) if x in ("good", "bad")]
-    k = 0
+    out, k = [], 0
     for i, label in enumerate(labels):
         if label is None:
             while k < len(decided) and decided[k] < i:
                 k += 1
-            before = i - decided[k - 1] if k else None
-            after = decided[k] - i if k < len(decided) else None
-            if before is None and after is None:
-                label = "good" if marked else "bad"
-            elif after is None or before is not None and before < after:
-                label = labels[decided[k - 1]]
-            elif before is None or after < before:
-                label = labels[decided[k]]
-            else:
-                pair = {labels[decided[k - 1]], labels[decided[k]]}
-                label = pair.pop() if len(pair) == 1 else "good" if marked or blocks[i].heading else "bad"
-        if label == "good" and texts[i]:
-            kept.append(texts[i])
-    return " ".join(kept)
+            near = [(abs(j - i), labels[j]) for j in decided[max(k - 1, 0) : k + 1]]
+            closest = {x for d, x in near if d == min(near)[0]}
+            label = closest.pop() if len(closest) == 1 else undecided if not closest or not blocks[i].heading else "good"
+        out.append(label)
+    return out
 
 
-def _first_label(b: Block, text: str, marked: bool) -> str | None:
-    if b.out or marked and not b.inside:
-        return "out"
-    n = len(text)
-    if not n:
-        return "out"
-    if b.linked > LINKS_MOST * n and n >= 1:
-        return "bad"
-    words = _WORD.findall(text.lower())
-    stop = sum(w in STOP_WORDS for w in words) / max(len(words), 1)
-    if marked:
-        # the page says that this is the article: text without many links is in, short or odd text is open
-        return "good" if n >= SHORT and stop >= STOP_LOW / 3 else None
-    if "\N{COPYRIGHT SIGN}" in text:
-        return "bad"
-    if n < SHORT:
-        return None if not b.linked else "bad"
-    if stop >= STOP_HIGH:
-        return "good" if n > LONG else None
-    return None if stop >= STOP_LOW else "bad"
+def main_text(page: str | None) -> str:
+    """Main text of one page; empty for null and empty pages and where nothing qualifies."""
+    if not page:
+        return ""
+    blocks = blocks_of(page)
+    texts = [b.text() for b in blocks]
+    labels = [_rule_label(b, t, False) for b, t in zip(blocks, texts)]
+    good = [(b.inside, len(t)) for b, t, x in zip(blocks, texts, labels) if x == "good"]
+    inside = sum(n for i, n in good if i)
+    article = any(b.inside and not b.out for b in blocks) and 2 * inside >= sum(n for _, n in good)
+    if article:
+        labels = [_rule_label(b, t, True) if b.inside else "out" for b, t in zip(blocks, texts)]
+    elif not good:  # a page without any decided text: blocks that aren't short need less to be good
+        labels = [_rule_label(b, t, True) if x is None else x for b, t, x in zip(blocks, texts, labels)]
+    labels = _inherited(labels, blocks, "good" if article else "bad")
+    return " ".join(t for t, x in zip(texts, labels) if x == "good")
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

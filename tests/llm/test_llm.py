@@ -288,17 +288,68 @@ def test_main_text():
     assert main_text.main_text("<article>a < b <3 & c</article>") == "a < b <3 & c"
 
 
-def test_main_text_of_pages(spark, sf):
+def _article(page):
     import html
 
+    body = re.search(r"<article>(.*?)</article>", page, re.S)[1]
+    return " ".join(html.unescape(re.sub(r"<[^>]*>", "", re.sub(r"</?(p|h1)>|<br>", " ", body))).split())
+
+
+def test_main_text_of_pages(spark, sf):
     pages = spark.read.parquet(f"{sf}/pages.parquet")
     got = frame(main_text.extract(pages), "page_id")
     for r, g in zip(frame(pages, "page_id").itertuples(), got.itertuples()):
-        body = re.search(r"<article>(.*?)</article>", r.html, re.S)[1]
-        want = " ".join(html.unescape(re.sub(r"<[^>]*>", "", re.sub(r"</?(p|h1)>|<br>", " ", body))).split())
+        want = _article(r.html)
         assert g.text == want and g.n_chars == len(want)
 
 
+def test_rules_find_unmarked_articles(sf, monkeypatch):
+    """With the article's tags renamed, length, stop words and links alone tell it; without stop words they can't."""
+    pages = pd.read_parquet(f"{sf}/pages.parquet").html
+
+    def shares():
+        both = got = want = 0
+        for page in pages:
+            a, b = Counter(_article(page).split()), Counter(main_text.main_text(re.sub(r"<(/?)(?:article|main)\b", r"<\1div", page)).split())
+            both, got, want = both + sum((a & b).values()), got + sum(b.values()), want + sum(a.values())
+        return both / max(got, 1), both / want
+
+    precision, recall = shares()
+    assert precision >= 0.9 and recall >= 0.9
+    monkeypatch.setattr(main_text, "STOP_WORDS", frozenset())
+    assert shares()[1] < 0.5
+
+
+def test_article_markup_is_believed_only_with_the_rules():
+    long_ = "It is the case that all of the words in this are of the kind that the rules have in their list and so on. " * 3
+    for tag in ('article class="comment"', 'article class="post comment"', 'article itemtype="http://schema.org/Comment"', "article"):
+        note = "A short note." if tag == "article" else long_
+        assert main_text.main_text(f"<body><div><p>{long_}</p><p>{long_}</p></div><{tag}><p>{note}</p></article>").startswith(f"{long_}{long_}".strip())
+    assert main_text.main_text(f'<article class="post category-comments comments-open"><p>{long_}</p></article>') == long_.strip()
+
+
+@pytest.mark.parametrize("page", [
+    "<div>" * 50_000 + "x", "<article>" + "<div><center>" * 50_000 + "x", "<ul><li><ul>" + "<center>" * 50_000 + "<li></li></b>" * 50_000,
+    '<a x">' * 50_000 + "<b y='>" * 50_000, "<p><table>" + "<center>" * 50_000 + "<pre></pre>" * 50_000,
+])
+def test_time_grows_with_the_page_only(page):
+    import time
+
+    began = time.time()
+    main_text.main_text(page)
+    assert time.time() - began < 5
+
+
+def test_main_text_of_odd_rows(spark):
+    rows = [(1, "u", "<article><p>a b"), (1, "u", "<article><p>a b"), (2, None, None), (None, "v", ""), (3, "w", "<p>" * 20_000 + "x")]
+    plain, odd = "page_id long, url string, html string", "page_id long, url string, html string, text string, n_chars string"
+    want = [(1, "u", "a b", 3), (1, "u", "a b", 3), (2, None, "", 0), (3, "w", "", 0), (None, "v", "", 0)]
+    for schema, more in ((plain, ()), (odd, ("t", "n"))):
+        got = main_text.extract(spark.createDataFrame([r + more for r in rows], schema)).collect()
+        assert sorted(map(tuple, got), key=lambda r: (r[0] is None, r)) == want
+        assert main_text.extract(spark.createDataFrame([], schema)).count() == 0
+
+
 # ---- 7: mixing
 
 
