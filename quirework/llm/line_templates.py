@@ -112,7 +112,7 @@ def recurring(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     text included; dropped: ``line_key, template`` of lines that belong to
     recurring templates.
     """
-    lines = materialize(_lines(texts), "lines")
+    lines = materialize(_lines(texts), "lines", "zstd")
     occ = lines.select("text_key", "pos", "line_key")
     per_line = materialize(
         lines.groupBy("line_key", "leaf", "text_key").count().groupBy("line_key", "leaf").agg(F.count("*").alias("n")), "per-line"
