@@ -106,7 +106,7 @@ def test_decontamination_queries(spark):
     hits = decontaminate.contaminated(d, bench).toPandas()
     assert sorted(zip(hits.doc_id, hits.item_id)) == [(1, 9), (1, 9), (1, 13), (1, 13)] and set(hits.distance) == {0}
     first = hits[(hits.end_pos != 33)].iloc[0]
-    assert (first.start_pos, first.end_pos) == (5, 42)
+    assert (first.start_pos, first.end_pos) == (5, 41)
     assert frame(decontaminate.drop_contaminated(d, bench)).doc_id.tolist() == [2, 3, 4]
 
 
