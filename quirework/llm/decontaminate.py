@@ -36,9 +36,9 @@ SIMILARITY = 0.8
 LEAST_CHARACTERS = 20
 #: For items of so many characters or more: steps of a walk, samples in them, characters that it passes at least, and
 #: repetitions. A walk that lingers tells little; its window is left to other repetitions.
-WALKS = ((LEAST_CHARACTERS, 18, 9, 6, 12), (48, 22, 11, 8, 10), (90, 26, 12, 9, 7))
+WALKS = ((LEAST_CHARACTERS, 18, 9, 6, 12), (48, 24, 12, 9, 10), (125, 28, 12, 10, 6))
 #: Places at which items of so many characters or more must share a key.
-PLACES = ((0, 1), (64, 2), (150, 3), (250, 4))
+PLACES = ((0, 1), (64, 2), (125, 3), (190, 4), (250, 5))
 #: Least share found of the copies that stay at SIMILARITY, held by the tests for every item length and kind of edit.
 RECALL = 0.9
 #: Characters that a packed window holds, five bits each.
@@ -50,7 +50,7 @@ GRAMS = (2, 3, 4)
 _BINS = 4093
 SEED = 5
 CHUNK = 1 << 20
-BLOCK = 1 << 15
+BLOCK = 1 << 16
 #: Items are searched in slices of at most so many bytes of text, each sent to all executors (some 20 bytes a byte).
 SLICE_BYTES = 2 << 20
 
