@@ -56,9 +56,10 @@ def _md5(text):
 
 def _lines(texts: DataFrame) -> DataFrame:
     """``text_key, pos, line_key, leaf, masked`` of the lines that are long enough."""
-    # key and lines are columns before the lines are exploded: beside the explosion, the key would be made for each line
+    # key and lines are columns before the lines are exploded: beside the explosion, the key would be made for each line;
+    # the explosion is outer, since for others the planner makes a filter of the array and masks the lines twice
     keyed = texts.select(_md5(F.col("text")).alias("text_key"), masked_lines(F.col("text")).alias("lines"))
-    rows = keyed.select("text_key", F.posexplode("lines").alias("pos", "x")).where((F.col("x.tokens") >= LEAST_TOKENS) & (F.col("x.masked") != ""))
+    rows = keyed.select("text_key", F.posexplode_outer("lines").alias("pos", "x")).where((F.col("x.tokens") >= LEAST_TOKENS) & (F.col("x.masked") != ""))
     leaf = F.xxhash64("x.tokens", F.substring_index("x.masked", " ", DEPTH))
     return rows.select("text_key", "pos", _md5(F.col("x.masked")).alias("line_key"), leaf.alias("leaf"), F.col("x.masked").alias("masked"))
 
