@@ -126,11 +126,11 @@ base AS (SELECT tk, kind, ord, value, a, a + length(value) AS b FROM z WHERE CAS
 l0 AS (SELECT tk, copies, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS no FROM u WHERE tk IN (SELECT tk FROM base)),
 l1 AS (SELECT *, (sum(length(line) + 1) OVER (PARTITION BY tk ORDER BY no) - length(line) - 1)::BIGINT AS begin_at FROM l0),
 lines AS (SELECT DISTINCT l1.tk, copies, begin_at, line, ord || ':' || lower(regexp_replace(value, '[^A-Za-z0-9@.]', '', 'g')) AS entity FROM l1 JOIN base ON l1.tk = base.tk AND a >= begin_at AND a < begin_at + length(line) + 1),
-seen AS (SELECT DISTINCT tk, copies, entity, unnest(list_filter(list_distinct(string_split_regex(lower(line), '\P{L}+')), lambda e: length(e) >= 4)) AS term FROM lines),
+seen AS (SELECT DISTINCT tk, copies, entity, unnest(list_filter(list_distinct(string_split_regex(lower(line), '\P{L}+')), lambda e: length(e) >= 3)) AS term FROM lines),
 n AS (SELECT count(*) AS n FROM d),
 ne AS (SELECT entity, sum(copies) AS n_e FROM (SELECT DISTINCT tk, copies, entity FROM lines) GROUP BY entity),
 tog AS (SELECT entity, term, sum(copies) AS n_et, n_e, n, sum(copies) * pow(n::DOUBLE / n_e, 1 - 1 / 1.25::DOUBLE) * (1 + 1e-9) AS most FROM seen JOIN ne USING (entity), n WHERE n_e < n GROUP BY entity, term, n_e, n HAVING count(*) >= 3),
-nt AS (SELECT term, sum(copies) AS n_t FROM (SELECT copies, unnest(list_filter(list_distinct(string_split_regex(lower(text), '\P{L}+')), lambda e: length(e) >= 4)) AS term FROM u WHERE EXISTS (SELECT 1 FROM tog)) GROUP BY term),
+nt AS (SELECT term, sum(copies) AS n_t FROM (SELECT copies, unnest(list_filter(list_distinct(string_split_regex(lower(text), '\P{L}+')), lambda e: length(e) >= 3)) AS term FROM u WHERE EXISTS (SELECT 1 FROM tog)) GROUP BY term),
 pairs AS (SELECT entity, term FROM tog JOIN nt USING (term) WHERE n_t <= most),
 marked AS (SELECT tk, begin_at, line, list(DISTINCT term) AS terms FROM lines JOIN pairs USING (entity) GROUP BY ALL),
 v AS (SELECT tk, begin_at, terms, regexp_extract_all(line, '\p{L}+') AS m, string_split_regex(line, '\p{L}+') AS g FROM marked),

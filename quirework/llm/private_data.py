@@ -1,8 +1,10 @@
 """Personal data: base spans by pattern, and terms that give protected values away.
 
 Base spans (email, ip, card, phone) are found by SQL functions alone: matches
-come from regexp_extract_all, their places from the lengths of the pieces that
-split leaves around them.
+come from regexp_extract_all, their places from running sums over the lengths of
+the matches and of the pieces that split leaves around them. The sums go by
+blocks, and arrays that functions look into are columns of their own, so that
+time grows in proportion to matches and lines, however many a text has.
 
 Information-theoretic part: every base value is a protected entity e. Over all
 N documents, the pointwise mutual information of e and a term t on its lines is
@@ -24,7 +26,7 @@ from quirework.llm.common import materialize
 
 ALPHA = 1.25
 LEAST_CONTEXTS = 3
-LEAST_TERM = 4
+LEAST_TERM = 3
 KINDS = ("email", "ip", "card", "phone")
 
 # The given patterns. Possessive repeats and the condition that a match begins where its run of characters begins (or
@@ -40,19 +42,59 @@ PATTERNS = {
 _WORD = r"\p{L}+"
 
 
-def found(text, pattern: str):
-    """Array of ``(start, end, value)`` of the leftmost non-overlapping matches, in code points."""
-    values = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    begin = F.struct(F.lit(0).alias("at"), F.lit(0).alias("i"), F.array().cast("array<struct<start:int,end:int,value:string>>").alias("out"))
+_INTS = "array<int>"
+#: Elements of a running sum's block.
+SUMMED = 64
 
-    def step(acc, value):
-        start = acc["at"] + F.length(F.get(gaps, acc["i"]))
-        end = start + F.length(value)
-        span = F.struct(start.alias("start"), end.alias("end"), value.alias("value"))
-        return F.struct(end.alias("at"), (acc["i"] + 1).alias("i"), F.concat(acc["out"], F.array(span)).alias("out"))
 
-    return F.aggregate(values, begin, step, lambda acc: acc["out"])
+def with_running_sums(rows: DataFrame, names: list[str]) -> DataFrame:
+    """``rows`` with each of these columns, arrays of lengths, replaced by its running sums (each with its own element).
+
+    Each step's arrays are used twice or more in the next, so the planner doesn't put them back into the functions that
+    would then make them anew for every element.
+    """
+    others = [c for c in rows.columns if c not in names]
+    add = lambda x: F.aggregate(x, F.lit(0), lambda a, y: a + y)
+    up_to = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast(_INTS))
+
+    def block_sums(c):
+        n = F.ceil(F.size(c) / SUMMED).cast("int")
+        return F.transform(up_to(n), lambda b: add(F.slice(c, b * SUMMED + 1, SUMMED))).alias(f"{c}_blocks")
+
+    def sums_before(c):
+        return F.transform(up_to(F.size(f"{c}_blocks")), lambda b: add(F.slice(f"{c}_blocks", F.lit(1), b))).alias(f"{c}_before")
+
+    rows = rows.select(*others, *names, *[block_sums(c) for c in names])
+    rows = rows.select(*others, *names, *[sums_before(c) for c in names])
+
+    def sums(c):
+        def block(b):
+            n = F.least(F.size(c) - b * SUMMED, F.lit(SUMMED))
+            return F.transform(F.sequence(F.lit(1), n), lambda i: F.get(F.col(f"{c}_before"), b) + add(F.slice(c, b * SUMMED + 1, i)))
+
+        return F.flatten(F.transform(up_to(F.size(f"{c}_before")), block)).alias(c)
+
+    return rows.select(*others, *[sums(c) for c in names])
+
+
+def with_found(rows: DataFrame, text_col: str, patterns: dict[str, str], possible: dict) -> DataFrame:
+    """``rows`` with a column for each pattern: ``(start, end, value)`` of its leftmost non-overlapping matches, in code points.
+
+    ``possible``: for each pattern a condition without which the text has no match.
+    """
+    text, others = F.col(text_col), rows.columns
+    matches = [
+        x for k, p in patterns.items() for x in (
+            F.when(possible[k], F.regexp_extract_all(text, F.lit(p), F.lit(0))).otherwise(F.array().cast("array<string>")).alias(f"{k}_values"),
+            F.when(possible[k], F.split(text, p, -1)).otherwise(F.array().cast("array<string>")).alias(f"{k}_gaps"),
+        )
+    ]
+    rows = rows.select(*others, *matches)
+    size = lambda k: F.zip_with(F.slice(f"{k}_gaps", F.lit(1), F.size(f"{k}_values")), f"{k}_values", lambda g, v: F.length(g) + F.length(v))
+    rows = rows.select(*others, *[f"{k}_values" for k in patterns], *[size(k).alias(f"{k}_ends") for k in patterns])
+    rows = with_running_sums(rows, [f"{k}_ends" for k in patterns])
+    span = lambda v, e: F.struct((e - F.length(v)).alias("start"), e.alias("end"), v.alias("value"))
+    return rows.select(*others, *[F.zip_with(f"{k}_values", f"{k}_ends", span).alias(k) for k in patterns])
 
 
 def _digits(value):
@@ -89,17 +131,18 @@ def _possible(kind: str, text):
 _SPANS = "array<struct<start:int,kind:int,end:int,value:string>>"
 
 
-def base_spans(text):
-    """Array of ``(start, kind number, end, value)`` of all base spans, by start, then kind as listed."""
+def with_base_spans(rows: DataFrame, text_col: str, name: str) -> DataFrame:
+    """``rows`` with all base spans as ``(start, kind number, end, value)``, by start, then kind as listed."""
+    others = rows.columns
+    rows = with_found(rows, text_col, PATTERNS, {k: _possible(k, F.col(text_col)) for k in KINDS})
+
     def of_kind(n, kind):
-        kept = F.filter(found(text, PATTERNS[kind]), lambda s: _passes(kind, s["value"]))
-        spans = F.transform(
+        kept = F.filter(F.col(kind), lambda s: _passes(kind, s["value"]))
+        return F.transform(
             kept, lambda s: F.struct(s["start"].alias("start"), F.lit(n).alias("kind"), s["end"].alias("end"), s["value"].alias("value"))
         )
-        return F.when(_possible(kind, text), spans).otherwise(F.array().cast(_SPANS))
 
-    each = [of_kind(n, kind) for n, kind in enumerate(KINDS)]
-    return F.array_sort(F.concat(*each))
+    return rows.select(*others, F.array_sort(F.concat(*[of_kind(n, kind) for n, kind in enumerate(KINDS)])).alias(name))
 
 
 def _written(spans):
@@ -123,22 +166,16 @@ def disclosing_terms(docs: DataFrame, text_col: str = "text") -> tuple[DataFrame
     texts = docs.select(text.alias("text"))
     may = _possible("email", F.col("text")) | _possible("ip", F.col("text")) | _possible("card", F.col("text")) | _possible("phone", F.col("text"))
     # no base pattern crosses a line end, so a line's spans are the text's spans on that line
-    line = F.get(F.split("text", "\n"), F.col("i"))
-    lengths = F.transform(F.split("text", "\n"), lambda x: F.length(x) + 1)
-    start = F.aggregate(F.slice(lengths, F.lit(1), F.col("i")), F.lit(0), lambda a, x: a + x)
-    held = (
-        texts.where(may)
-        .withColumn("text_key", F.md5(F.col("text").cast("binary")))
-        .withColumn("i", F.explode(F.sequence(F.lit(0), F.size(F.split("text", "\n")) - 1)))
-        .select("text_key", line.alias("line"), F.when(line.rlike("[0-9@]"), start).alias("line_start"))
-        .where("line_start is not null")
-        .withColumn("spans", base_spans(F.col("line")))
-        .where(F.size("spans") > 0)
-    )
+    split = texts.where(may).select(F.md5(F.col("text").cast("binary")).alias("text_key"), F.split("text", "\n").alias("lines"))
+    split = with_running_sums(split.select("text_key", "lines", F.transform("lines", lambda x: F.length(x) + 1).alias("ends")), ["ends"])
+    line = F.zip_with("lines", "ends", lambda x, e: F.struct(x.alias("line"), (e - F.length(x) - 1).alias("line_start")))
+    # outer explosions: for others the planner makes a filter of the array, and works it out a second time below
+    held = split.select("text_key", F.explode_outer(line).alias("x")).select("text_key", "x.line", "x.line_start").where(F.col("line").rlike("[0-9@]"))
+    held = with_base_spans(held, "line", "spans")
     entity = F.transform("spans", lambda s: F.concat_ws(":", s["kind"].cast("string"), F.lower(F.regexp_replace(s["value"], "[^A-Za-z0-9@.]", ""))))
     lines = materialize(
-        held.select("text_key", "line_start", "line", F.explode(F.array_distinct(entity)).alias("entity"))
-        .groupBy("text_key", "line_start", "line", "entity").agg(F.count("*").alias("copies")), "lines",
+        held.select("text_key", "line_start", "line", F.explode_outer(F.array_distinct(entity)).alias("entity"))
+        .where("entity is not null").groupBy("text_key", "line_start", "line", "entity").agg(F.count("*").alias("copies")), "lines",
     )
     seen = lines.select("text_key", "entity", "copies", F.explode(_terms(F.col("line"))).alias("term"))
     seen = seen.groupBy("text_key", "entity", "term").agg(F.max("copies").alias("copies"))
@@ -169,7 +206,8 @@ def _term_spans(lines: DataFrame, pairs: DataFrame) -> DataFrame:
     joined = lines.join(pairs, "entity").groupBy("text_key", "line_start", "line").agg(
         F.collect_set(F.when(F.col("only"), F.col("term"))).alias("removed"), F.collect_set("term").alias("terms")
     )
-    words = F.filter(found(F.col("line"), _WORD), lambda s: F.array_contains("terms", F.lower(s["value"])))
+    joined = with_found(joined, "line", {"words": _WORD}, {"words": F.lit(True)})
+    words = F.filter("words", lambda s: F.array_contains("terms", F.lower(s["value"])))
     label = lambda s: F.when(F.array_contains("removed", F.lower(s["value"])), "").otherwise("[TERM]")
     at = F.col("line_start")
     spans = F.transform(
@@ -181,7 +219,7 @@ def _term_spans(lines: DataFrame, pairs: DataFrame) -> DataFrame:
 def _with_spans(docs: DataFrame, id_col: str, text_col: str, keep_text: bool) -> DataFrame:
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"))
-    rows = rows.withColumn("base", base_spans(F.col("text"))).withColumn("text_key", F.md5(F.col("text").cast("binary")))
+    rows = with_base_spans(rows.withColumn("text_key", F.md5(F.col("text").cast("binary"))), "text", "base")
     lines, pairs = disclosing_terms(docs, text_col)
     if pairs is None or pairs.isEmpty():
         return rows.withColumn("terms", F.array().cast(_SPANS))

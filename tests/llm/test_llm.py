@@ -197,6 +197,17 @@ def test_long_runs_of_digits_and_words(spark):
     assert got.spans.tolist() == ["", "", "email:0:100004", "", "email:0:80003"]
 
 
+def test_texts_of_very_many_lines_and_values(spark):
+    import time
+
+    texts = ["x\n" * 50_000 + "mail a@b.co\n" + "y\n" * 50_000, "a@b.co " * 100_000, "1.2.3.4\n" * 50_000, "word " * 100_000 + "a@b.co"]
+    began = time.time()
+    got = frame(private_data.personal_data(docs(spark, list(enumerate(texts)))))
+    assert time.time() - began < 60
+    assert got.n_email.tolist() == [1, 100_000, 0, 1] and got.n_ip.tolist() == [0, 0, 50_000, 0]
+    assert got.base_sha256.tolist() == [hashlib.sha256(_base(t).encode()).hexdigest() for t in texts]
+
+
 def test_disclosing_terms(spark):
     texts = ["Zebrafish at q@q.qq here", "the Zebrafish says q@q.qq", "so Zebrafish and q@q.qq again", "nothing here", "here again", "and again"]
     d = docs(spark, list(enumerate(texts + ["Zebrafish at q@q.qq here"])))
