@@ -136,8 +136,15 @@ def shard_documents(docs: DataFrame, shards: int = 8, seed: int = SEED, id_col:
 
 
 def shard_rows(docs: DataFrame, shards: int = 8, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All columns of ``docs`` with ``shard`` and ``slot`` (which replace columns of those names)."""
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
-    rows = docs.drop("shard", "slot").withColumn("__h", F.sha1(text))
-    numbered, n = number_rows(rows, [id_col, "__h"])
-    return place(numbered.drop("__h"), n, shards, seed)
+    """All columns of ``docs`` with ``shard`` and ``slot`` (which replace columns of those names).
+
+    Null texts count as empty; repeated rows get places of their own; an empty table gives no rows.
+    """
+    names = [c for c in docs.columns if c.lower() not in ("shard", "slot")]
+    lowered = [c.lower() for c in names]
+    plain = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)])
+    doc_id, text = (f"c{lowered.index(c.lower())}" for c in (id_col, text_col))
+    rows = plain.withColumn("__h", F.sha1(F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary")))
+    numbered, n = number_rows(rows, [doc_id, "__h"])
+    placed = place(numbered.drop("__h"), n, shards, seed)
+    return placed.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)], "shard", "slot")
