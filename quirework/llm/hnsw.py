@@ -1,10 +1,11 @@
 """Approximate nearest neighbours: one navigable small-world graph per shard.
 
-Rows are dealt to shards of about SHARD_ROWS by a hash of their id. In each
-shard the distinct vectors form a hierarchy of graphs (a vector's top level is
+Rows are dealt to shards by a hash of their number. Shards are as few as memory
+allows, since every query visits each of them, but not fewer than there are
+cores for. In each shard the distinct vectors form a hierarchy of graphs (a vector's top level is
 drawn from a hash of its id), stored as flat int32 neighbour arrays, one row
-per vector, padded with -1; copies of a vector hang on it as a sorted list of
-ids. Vectors are inserted in small blocks: a block is searched for in the graph
+per vector, padded with -1; copies of a vector hang on it as a list of rows, sorted
+by id. Vectors are inserted in small blocks: a block is searched for in the graph
 of the earlier ones, its members also see one another, and neighbours are
 chosen so that none is closer to a chosen one than to the vector itself.
 
@@ -21,8 +22,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-SHARD_ROWS = 8192
-QUERY_BLOCK = 4096
+from quirework.llm.common import materialize
+
+#: Rows of a shard: at least the first number where there are more cores than shards, at most the second, and no more than
+#: fit into SHARD_BYTES with their graph and a copy in single precision.
+SHARD_ROWS = (8192, 65_536)
+SHARD_BYTES = 200 << 20
+QUERY_BLOCK = 16_384
 LINKS = 16
 EF_BUILD = 80
 EF_SEARCH = 128
@@ -187,17 +193,17 @@ class Graph:
 
 
 INDEX = (
-    "dim int, shard int, ids binary, starts binary, vectors binary, level_sizes array<int>, neighbours array<binary>"
+    "dim int, shard int, ids binary, uids binary, starts binary, vectors binary, level_sizes array<int>, neighbours array<binary>"
 )
 
 
-def build_shard(dim: int, shard: int, ids: np.ndarray, vectors: np.ndarray) -> tuple:
-    """One row of the index from a shard's ids and vectors."""
-    order = np.argsort(ids, kind="stable")
-    ids, vectors = ids[order], np.ascontiguousarray(vectors[order])
+def build_shard(dim: int, shard: int, ids: np.ndarray, uids: np.ndarray, vectors: np.ndarray) -> tuple:
+    """One row of the index from a shard's ids, row numbers and vectors."""
+    order = np.lexsort((uids, ids))
+    ids, uids, vectors = ids[order], uids[order], np.ascontiguousarray(vectors[order])
     _, first, which, n = np.unique(vectors, axis=0, return_index=True, return_inverse=True, return_counts=True)
     with np.errstate(over="ignore"):
-        h = (ids[first].astype(np.uint64) + np.uint64(SEED)) * np.uint64(0x9E3779B97F4A7C15)
+        h = (uids[first].astype(np.uint64) + np.uint64(SEED)) * np.uint64(0x9E3779B97F4A7C15)
         h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
     u = ((h >> np.uint64(11)).astype(np.float64) + 1) / float(1 << 53)
     level = np.floor(-np.log(u) / np.log(LINKS)).astype(np.int64)
@@ -210,14 +216,14 @@ def build_shard(dim: int, shard: int, ids: np.ndarray, vectors: np.ndarray) -> t
     sizes = [int((level >= k).sum()) for k in range(top + 1)]
     g = Graph.build(vectors[first[by_level]], sizes)
     return (
-        dim, shard, ids[posted].astype(np.int64).tobytes(), starts.astype(np.int32).tobytes(), g.exact.tobytes(),
+        dim, shard, ids[posted].astype(np.int64).tobytes(), uids[posted].astype(np.int64).tobytes(), starts.astype(np.int32).tobytes(), g.exact.tobytes(),
         sizes, [t.tobytes() for t in g.neighbours],
     )
 
 
-def search_shard(row, query_ids: np.ndarray, queries: np.ndarray, k: int, ef: int):
-    """``(query position, vec_id, score)`` arrays: each query's ``k`` best of one shard, itself left out."""
-    ids = np.frombuffer(row.ids, np.int64)
+def search_shard(row, query_uids: np.ndarray, queries: np.ndarray, k: int, ef: int):
+    """``(query position, vec_id, score)`` arrays: each query's ``k`` best of one shard, its own row left out."""
+    ids, uids = np.frombuffer(row.ids, np.int64), np.frombuffer(row.uids, np.int64)
     starts = np.frombuffer(row.starts, np.int32)
     vectors = np.frombuffer(row.vectors, np.float64).reshape(-1, int(row.dim))
     tables = [np.frombuffer(t, np.int32).reshape(n, -1) for t, n in zip(row.neighbours, row.level_sizes)]
@@ -232,11 +238,11 @@ def search_shard(row, query_ids: np.ndarray, queries: np.ndarray, k: int, ef: in
         found, score = np.take_along_axis(found, best, 1), np.take_along_axis(score, best, 1)
         for i in range(len(q)):
             f = found[i][found[i] >= 0]
-            # a vector's smallest k+1 ids are enough: one of them may be the query's own
-            spans = [ids[starts[x] : min(starts[x + 1], starts[x] + k + 1)] for x in f[: k + 1 + (len(f) > k) * 16]]
-            cand = np.concatenate(spans) if spans else np.empty(0, np.int64)
-            sc = np.repeat(score[i][: len(spans)], [len(s) for s in spans])
-            other = cand != query_ids[a + i]
+            # a vector's first k+1 rows are enough: one of them may be the query's own
+            spans = [np.arange(starts[x], min(starts[x + 1], starts[x] + k + 1)) for x in f[: k + 1 + (len(f) > k) * 16]]
+            at = np.concatenate(spans) if spans else np.empty(0, np.int64)
+            cand, sc = ids[at], np.repeat(score[i][: len(spans)], [len(s) for s in spans])
+            other = uids[at] != query_uids[a + i]
             cand, sc = cand[other], sc[other]
             top = np.lexsort((cand, -sc))[:k]
             out.append((np.full(len(top), a + i), cand[top], sc[top]))
@@ -244,26 +250,28 @@ def search_shard(row, query_ids: np.ndarray, queries: np.ndarray, k: int, ef: in
 
 
 def valid_vectors(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """``vec_id, vec, dim``: vectors that aren't null, empty, zero or holding null or non-finite components.
+    """``vec_id, uid, vec, dim``: vectors that aren't null, empty, zero or holding null or non-finite components.
 
-    An id that occurs on several rows counts once, with its smallest vector; null ids take no part.
+    Every row counts, whatever ids repeat; uid tells rows apart. Null ids take
+    no part. The result is written, so that all that follows sees the same uids.
     """
     vec = F.col(vec_col).cast("array<double>")
     able = F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("vec", lambda x: x != 0)
     kept = rows.select(F.col(id_col).cast("long").alias("vec_id"), vec.alias("vec")).where(
         F.col("vec_id").isNotNull() & F.col("vec").isNotNull() & able
     )
-    return kept.groupBy("vec_id").agg(F.min("vec").alias("vec")).withColumn("dim", F.size("vec"))
+    return materialize(kept.select("vec_id", F.monotonically_increasing_id().alias("uid"), "vec", F.size("vec").alias("dim")), "vectors")
 
 
 def build_index(vectors: DataFrame, shards: int) -> DataFrame:
     """The index: one row per shard (and dimension) with flat arrays."""
 
     def build(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        row = build_shard(int(key[0]), int(key[1]), pdf["vec_id"].to_numpy(), np.stack(pdf["vec"].to_numpy()).astype(np.float64))
-        return pd.DataFrame([row], columns=["dim", "shard", "ids", "starts", "vectors", "level_sizes", "neighbours"])
+        vecs = np.stack(pdf["vec"].to_numpy()).astype(np.float64)
+        row = build_shard(int(key[0]), int(key[1]), pdf["vec_id"].to_numpy(), pdf["uid"].to_numpy(), vecs)
+        return pd.DataFrame([row], columns=["dim", "shard", "ids", "uids", "starts", "vectors", "level_sizes", "neighbours"])
 
-    dealt = vectors.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int"))
+    dealt = vectors.withColumn("shard", F.pmod(F.xxhash64("uid"), F.lit(shards)).cast("int"))
     return dealt.repartitionByRange(shards, "dim", "shard").groupBy("dim", "shard").applyInPandas(build, INDEX)
 
 
@@ -271,21 +279,24 @@ def search_index(index: DataFrame, queries: DataFrame, shards: int, blocks: int,
     """Each query (rows like ``valid_vectors``) against every shard, in blocks of queries; best ``k`` of all shards."""
 
     def pack(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("vec_id")
+        pdf = pdf.sort_values(["vec_id", "uid"])
         vecs = np.stack(pdf["vec"].to_numpy()).astype(np.float64)
-        return pd.DataFrame([(int(key[0]), int(key[1]), pdf["vec_id"].to_numpy(np.int64).tobytes(), vecs.tobytes())], columns=["dim", "block", "qids", "qvecs"])
+        ids, uids = (pdf[c].to_numpy(np.int64).tobytes() for c in ("vec_id", "uid"))
+        return pd.DataFrame([(int(key[0]), int(key[1]), ids, uids, vecs.tobytes())], columns=["dim", "block", "qids", "quids", "qvecs"])
 
     def search(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
-            return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
+            return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "query_uid": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
         qids = np.frombuffer(right["qids"].iloc[0], np.int64)
+        quids = np.frombuffer(right["quids"].iloc[0], np.int64)
         q = np.frombuffer(right["qvecs"].iloc[0], np.float64).reshape(len(qids), -1)
-        at, ids, score = search_shard(left.iloc[0], qids, q, k, ef)
-        return pd.DataFrame({"query_id": qids[at.astype(np.int64)], "vec_id": ids, "score": score})
+        at, ids, score = search_shard(left.iloc[0], quids, q, k, ef)
+        at = at.astype(np.int64)
+        return pd.DataFrame({"query_id": qids[at], "query_uid": quids[at], "vec_id": ids, "score": score})
 
     packed = (
-        queries.withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(SEED)), F.lit(blocks)).cast("int"))
-        .groupBy("dim", "block").applyInPandas(pack, "dim int, block int, qids binary, qvecs binary")
+        queries.withColumn("block", F.pmod(F.xxhash64("uid", F.lit(SEED)), F.lit(blocks)).cast("int"))
+        .groupBy("dim", "block").applyInPandas(pack, "dim int, block int, qids binary, quids binary, qvecs binary")
     )
     left = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     right = packed.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
@@ -294,23 +305,30 @@ def search_index(index: DataFrame, queries: DataFrame, shards: int, blocks: int,
     found = (
         left.repartition(n, *keys).groupBy(*keys)
         .cogroup(right.repartition(n, *keys).groupBy(*keys))
-        .applyInPandas(search, "query_id long, vec_id long, score double")
+        .applyInPandas(search, "query_id long, query_uid long, vec_id long, score double")
     )
-    nearest = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+    nearest = Window.partitionBy("query_uid").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= k).select(
         "query_id", "rank", "vec_id", "score"
     )
 
 
-def nearest_neighbours(rows: DataFrame, query_step: int = 20, k: int = 20, ef: int = EF_SEARCH, shard_rows: int = SHARD_ROWS, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """``query_id, rank, vec_id, score``: for every id divisible by ``query_step`` its ``k`` nearest found.
+def shard_count(rows: int, dim: int, cores: int, least_most: tuple[int, int] = SHARD_ROWS) -> int:
+    least, most = least_most
+    most = max(1, min(most, SHARD_BYTES // (12 * dim + 300)))
+    return max(1, -(-rows // most), min(cores, -(-rows // least)))
+
+
+def nearest_neighbours(rows: DataFrame, query_step: int = 20, k: int = 20, ef: int = EF_SEARCH, shard_rows: tuple[int, int] = SHARD_ROWS, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+    """``query_id, rank, vec_id, score``: for every row whose id is divisible by ``query_step`` its ``k`` nearest found.
 
-    Vectors of different lengths are never compared; vectors that
-    ``valid_vectors`` leaves out are neither queries nor candidates; an empty
-    table gives no rows; other columns are ignored.
+    Candidates are all other rows, those of the same id included; each row of a
+    repeated id is a query of its own. Vectors of different lengths are never
+    compared; vectors that ``valid_vectors`` leaves out are neither queries nor
+    candidates; an empty table gives no rows; other columns are ignored.
     """
     vectors = valid_vectors(rows, id_col, vec_col)
     asked = vectors.where(F.col("vec_id") % query_step == 0)
-    n, nq = vectors.agg(F.count("*"), F.count(F.when(F.col("vec_id") % query_step == 0, 1))).first()
-    shards, blocks = max(1, -(-n // shard_rows)), max(1, -(-nq // QUERY_BLOCK))
-    return search_index(build_index(vectors, shards), asked, shards, blocks, k, ef)
+    n, nq, dim = vectors.agg(F.count("*"), F.count(F.when(F.col("vec_id") % query_step == 0, 1)), F.max("dim")).first()
+    shards = shard_count(n, dim or 1, vectors.sparkSession.sparkContext.defaultParallelism, shard_rows)
+    return search_index(build_index(vectors, shards), asked, shards, max(1, -(-nq // QUERY_BLOCK)), k, ef)

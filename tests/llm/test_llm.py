@@ -115,7 +115,7 @@ def test_decontamination_queries(spark):
 
 def test_neighbours_recall(spark, sf):
     e = spark.read.parquet(f"{sf}/embeddings.parquet")
-    got = hnsw.nearest_neighbours(e, shard_rows=200).toPandas()
+    got = hnsw.nearest_neighbours(e, shard_rows=(200, 200)).toPandas()
     pdf = e.toPandas()
     x, ids = np.stack(pdf.embedding).astype(float), pdf.vec_id.to_numpy()
     hits = n = 0
@@ -135,7 +135,7 @@ def test_graph_recall_on_clusters():
     x = np.repeat(rng.normal(size=(40, 16)), 50, axis=0) + 0.05 * rng.normal(size=(2000, 16))
     x[:500] = x[0]  # many copies
     ids = np.arange(2000)
-    row = pd.Series(dict(zip("dim shard ids starts vectors level_sizes neighbours".split(), hnsw.build_shard(16, 0, ids, x))))
+    row = pd.Series(dict(zip("dim shard ids uids starts vectors level_sizes neighbours".split(), hnsw.build_shard(16, 0, ids, ids, x))))
     q = np.arange(0, 2000, 20)
     at, got, score = hnsw.search_shard(row, q, x[q], 10, 96)
     hit = 0
@@ -149,9 +149,13 @@ def test_graph_recall_on_clusters():
 
 
 def test_neighbours_edge_cases(spark):
-    rows = [(0, [1.0, 0.0]), (20, [0.0, 0.0]), (40, None), (60, [float("nan"), 1.0]), (1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, [1.0, None]), (5, [1.0, 0.0, 0.0]), (None, [1.0, 1.0]), (2, [2.0, 0.0]), (80, [])]
+    rows = [(0, [1.0, 0.0]), (20, [0.0, 0.0]), (40, None), (60, [float("nan"), 1.0]), (1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, [1.0, None]), (5, [1.0, 0.0, 0.0]), (None, [1.0, 1.0]), (2, [2.0, 0.0]), (80, []), (1, [0.9, 0.0])]
     got = hnsw.nearest_neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).toPandas()
-    assert got[["query_id", "rank", "vec_id", "score"]].values.tolist() == [[0, 1, 2, 2.0], [0, 2, 1, 1.0]]
+    assert got[["query_id", "rank", "vec_id", "score"]].values.tolist() == [[0, 1, 2, 2.0], [0, 2, 2, 2.0], [0, 3, 1, 1.0], [0, 4, 1, 0.9]]
+    twice = spark.createDataFrame([(20, [1.0]), (20, [3.0]), (7, [2.0])], "vec_id long, embedding array<double>")
+    got = sorted(hnsw.nearest_neighbours(twice).toPandas()[["query_id", "rank", "vec_id", "score"]].values.tolist())
+    assert got == [[20, 1, 7, 6.0], [20, 1, 20, 3.0], [20, 2, 7, 2.0], [20, 2, 20, 3.0]]
+    assert [hnsw.shard_count(n, 64, 6) for n in (0, 100, 20_000, 51_282, 10**7)] == [1, 1, 3, 6, 153]
     assert hnsw.nearest_neighbours(spark.createDataFrame([], "vec_id long, embedding array<float>, dim int")).count() == 0
 
 
