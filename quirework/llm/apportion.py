@@ -4,11 +4,12 @@ Every source's documents stand in a seeded order (MD5 of seed, id and text) and
 form one stream of tokens, cut into blocks of B tokens. N blocks in all are
 awarded to the sources one by one by the highest quotient target/(2k+1); award
 number t goes to shard t mod shards, which gives integer quotas per source and
-shard that add up exactly. A source then gives whole passes of its stream and,
-for the rest, the first blocks of its seeded order. A document belongs to the
-block that holds its middle token, so documents are taken whole: a document's
-multiplicity is its source's number of passes, plus one if its key is not above
-the source's cut-off key. No document is taken more than ``cap`` times.
+shard that add up exactly. The shards of a source take their quotas from its
+stream one after the other, beginning anew where the stream ends. A document
+belongs to the block that holds its middle token, so documents are taken whole:
+each pass over the stream takes a document once, the last one only where its
+middle token lies within the quotas, and the shard of each copy is the one in
+whose quota that token lies. No document is taken more than ``cap`` times.
 """
 
 from __future__ import annotations
@@ -75,12 +76,12 @@ def sainte_lague(targets: np.ndarray, blocks: int) -> np.ndarray:
     return who[np.lexsort((who, -quotient))[:blocks]]
 
 
-def plan_mix(rows: DataFrame, blocks: int = BLOCKS, shards: int = 8, cap: int = CAP):
-    """``(plan, quotas)`` from ``measured`` rows.
+def plan_mix(rows: DataFrame, blocks: int = BLOCKS, shards: int = 8, cap: int = CAP) -> DataFrame:
+    """``source, source_size, target, passes, rest, quotas, bounds`` from ``measured`` rows.
 
-    plan: ``source, source_size, target, passes, rest`` (rest in tokens).
-    quotas: ``source, shard, quota``. The driver holds one row per source: its
-    name and size.
+    rest: the tokens taken in the last pass; quotas: each shard's blocks;
+    bounds: where in the passes over the stream each shard's tokens end. The
+    driver holds one row per source: its name, size and quotas.
     """
     spark = rows.sparkSession
     per = rows.groupBy("source").agg(F.sum("size").alias("size")).collect()
@@ -90,83 +91,84 @@ def plan_mix(rows: DataFrame, blocks: int = BLOCKS, shards: int = 8, cap: int =
     targets = water_fill(sizes, weights, cap) if len(per) else np.empty(0)
     blocks = max(blocks, 64 * len(per))
     awards = sainte_lague(targets, blocks)
-    quota = np.bincount(awards, minlength=len(per))
     unit = sizes.sum() / blocks
-    rows_out, quota_out = [], []
     by_shard = np.zeros((len(per), shards), dtype=np.int64)
     np.add.at(by_shard, (awards, np.arange(len(awards)) % shards), 1)
+    out = []
     for i, r in enumerate(per):
-        tokens = min(quota[i] * unit, cap * float(sizes[i]))
+        tokens = min(by_shard[i].sum() * unit, cap * float(sizes[i]))
         passes = int(tokens // sizes[i]) if sizes[i] else 0
         rest = tokens - passes * float(sizes[i]) if sizes[i] else 0.0
-        rows_out.append((r.source, int(sizes[i]), float(targets[i]), passes, float(rest)))
-        quota_out += [(r.source, j, int(by_shard[i, j])) for j in range(shards)]
-    plan = spark.createDataFrame(rows_out, "source string, source_size long, target double, passes int, rest double")
-    return plan, spark.createDataFrame(quota_out, "source string, shard int, quota long")
+        bounds = np.minimum(np.cumsum(by_shard[i]) * unit, tokens).tolist()
+        out.append((r.source, int(sizes[i]), float(targets[i]), passes, float(rest), by_shard[i].tolist(), bounds))
+    return spark.createDataFrame(out, "source string, source_size long, target double, passes int, rest double, quotas array<long>, bounds array<double>")
 
 
-def cut_offs(rows: DataFrame, plan: DataFrame, digits: int = 4) -> DataFrame:
-    """``plan`` with ``cut``: the largest key that the rest of the source's quota takes, or null.
+def with_middles(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``middle``: where each document's middle token stands in its source's stream.
 
-    Keys are first summed by their leading hex digits, so no task sorts a whole
-    source: the running sum goes over 16^digits buckets, and only the documents
-    of each source's one deciding bucket are ordered.
+    Running sums go over 256 parts of the key, their 256 parts, and the keys in
+    these, so that no task orders a whole source, however large it is.
     """
-    rows = rows.withColumn("bucket", F.substring("key", 1, digits))
-    sums = rows.groupBy("source", "bucket").agg(F.sum("size").alias("size"))
-    run = Window.partitionBy("source").orderBy("bucket")
-    before = F.sum("size").over(run) - F.col("size")
-    deciding = (
-        sums.withColumn("before", before)
-        .join(plan.select(F.col("source").alias("s"), "rest"), F.col("source").eqNullSafe(F.col("s")))
-        .where("before <= rest and rest < before + size")
-        .select("s", F.col("bucket").alias("b"), "before", "rest")
-    )
-    inner = rows.join(deciding, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b")))
-    inside = Window.partitionBy("source").orderBy("key", "doc_id")
-    middle = F.col("before") + F.sum("size").over(inside) - F.col("size") / 2
-    taken = inner.withColumn("middle", middle).groupBy(F.col("s").alias("source"))
-    last = taken.agg(
-        F.max(F.when(F.col("middle") <= F.col("rest"), F.col("key"))).alias("last_key"), F.first("b").alias("b")
-    )
-    # below the deciding bucket everything is taken: the bucket's own prefix sorts below all its keys
-    found = last.select(F.col("source").alias("s"), F.coalesce("last_key", "b").alias("cut"))
-    return plan.join(found, F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
+    source = [F.col("source").isNull(), F.coalesce("source", F.lit(""))]
+    rows = rows.withColumns({"a": F.substring("key", 1, 2), "b": F.substring("key", 3, 2), "none": source[0], "named": source[1]})
+    fine = rows.groupBy("none", "named", "a", "b").agg(F.sum("size").alias("n"))
+    coarse = fine.groupBy("none", "named", "a").agg(F.sum("n").alias("n"))
+    run = lambda by, at: F.sum("n").over(Window.partitionBy(*by).orderBy(at)) - F.col("n")
+    coarse = coarse.withColumn("before_a", run(("none", "named"), "a")).drop("n")
+    fine = fine.withColumn("before_b", run(("none", "named", "a"), "b")).drop("n")
+    placed = rows.join(fine.join(coarse, ["none", "named", "a"]), ["none", "named", "a", "b"])
+    inside = Window.partitionBy("none", "named", "a", "b").orderBy("key", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    middle = F.col("before_a") + F.col("before_b") + F.sum("size").over(inside) - F.col("size") / 2
+    return placed.withColumn("middle", middle).drop("a", "b", "none", "named", "before_a", "before_b")
+
+
+def cut_offs(placed: DataFrame, plan: DataFrame) -> DataFrame:
+    """``plan`` with ``cut``: the largest key that the last pass takes, or null. ``placed``: rows of ``with_middles``."""
+    joined = placed.join(plan.select(F.col("source").alias("s"), "rest"), F.col("source").eqNullSafe(F.col("s")))
+    last = joined.where("middle <= rest").groupBy("s").agg(F.max("key").alias("cut"), F.lit(True).alias("any"))
+    return plan.join(last, F.col("source").eqNullSafe(F.col("s")), "left").drop("s", "any")
 
 
 def _times(key):
-    return F.col("passes") + F.when(F.col("cut").isNotNull() & (key <= F.col("cut")), 1).otherwise(0)
+    return F.col("passes") + F.when((F.col("source_size") > 0) & F.col("cut").isNotNull() & (key <= F.col("cut")), 1).otherwise(0)
 
 
 def mix_documents(docs: DataFrame, blocks: int = BLOCKS, shards: int = 8, seed: int = SEED, **columns: str) -> DataFrame:
-    """What the mix takes of every document: ``doc_id, size, source_size, target, taken, times``.
+    """What the mix takes of every document: ``doc_id, size, source_size, target, taken, times, shards``.
 
-    Null texts have size 0; null sources are a source of their own, last in
-    order; an empty table gives no rows; repeated rows (equal id and text) share
-    a key and are taken alike; other columns are ignored.
+    shards: the shard of each copy taken, in order. Null texts have size 0; null
+    sources are a source of their own, last in order; an empty table gives no
+    rows; repeated rows (equal id and text) share a key and are taken alike;
+    other columns are ignored.
     """
     rows = materialize(measured(docs, seed, **columns), "measured")
-    plan, _ = plan_mix(rows, blocks, shards)
-    cuts = materialize(cut_offs(rows, plan).withColumnRenamed("source", "s"), "cuts")
-    return rows.join(cuts, F.col("source").eqNullSafe(F.col("s"))).select(
-        "doc_id", "size", "source_size", "target", (F.col("size") * _times(F.col("key"))).alias("taken"),
-        _times(F.col("key")).alias("times"),
+    plan = plan_mix(rows, blocks, shards)
+    placed = materialize(with_middles(rows), "placed")
+    cuts = materialize(cut_offs(placed, plan).withColumnRenamed("source", "s"), "cuts")
+    at = lambda i: F.size(F.filter("bounds", lambda b: b <= i * F.col("source_size") + F.col("middle")))
+    copies = F.when(F.col("times") > 0, F.transform(F.sequence(F.lit(0), F.col("times") - 1), lambda i: F.least(at(i), F.lit(shards - 1))))
+    return placed.join(cuts, F.col("source").eqNullSafe(F.col("s"))).withColumn("times", _times(F.col("key"))).select(
+        "doc_id", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"), "times",
+        F.coalesce(copies, F.array().cast("array<int>")).alias("shards"),
     )
 
 
 def mix_rows(docs: DataFrame, blocks: int = BLOCKS, shards: int = 8, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The mixed rows themselves: each row of ``docs`` as often as the mix takes it, columns unchanged."""
+    """The mixed rows themselves: each row of ``docs`` as often as the mix takes it, columns unchanged.
+
+    Null texts have size 0 and go with the documents around them; null sources
+    are a source of their own; repeated rows are taken alike; an empty table
+    gives no rows.
+    """
     names = docs.columns
-    rows = materialize(measured(docs, seed, id_col, text_col, source_col), "measured")
-    plan, _ = plan_mix(rows, blocks, shards)
-    cuts = materialize(cut_offs(rows, plan).select(F.col("source").alias("__s"), "passes", "cut"), "cuts")
-    key = seeded_key(F.col(id_col), F.col(text_col).cast("string"), seed)
-    small = cuts.select("__s", F.col("passes").alias("__passes"), F.col("cut").alias("__cut"))
-    joined = docs.withColumn("__key", key).join(small, F.col(source_col).cast("string").eqNullSafe(F.col("__s")))
-    times = F.col("__passes") + F.when(F.col("__cut").isNotNull() & (F.col("__key") <= F.col("__cut")), 1).otherwise(0)
-    return (
-        joined.withColumn("__times", times)
-        .where("__times > 0")
-        .withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times"))))
-        .select(*[F.col(f"`{c}`") for c in names])
-    )
+    lowered = [c.lower() for c in names]
+    plain = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)])
+    doc_id, text, source = (f"c{lowered.index(c.lower())}" for c in (id_col, text_col, source_col))
+    rows = materialize(measured(plain, seed, doc_id, text, source), "measured")
+    plan = plan_mix(rows, blocks, shards)
+    cuts = materialize(cut_offs(with_middles(rows), plan).select(F.col("source").alias("s"), "source_size", "passes", "cut"), "cuts")
+    key = seeded_key(F.col(doc_id), F.col(text).cast("string"), seed)
+    joined = plain.join(cuts, F.col(source).cast("string").eqNullSafe(F.col("s"))).withColumn("times", _times(key)).where("times > 0")
+    copies = joined.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times"))))
+    return copies.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)])

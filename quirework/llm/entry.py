@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quirework.llm import apportion, decontaminate, feistel_shards, hnsw, line_templates, main_text, ppm_langid, private_data
 from quirework.llm import simhash_dedup, warc
@@ -36,7 +37,8 @@ def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_sainte_lague_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return apportion.mix_documents(table(spark, sf_dir, "documents"))
+    mixed = apportion.mix_documents(table(spark, sf_dir, "documents"))
+    return mixed.withColumn("shards", F.array_join(F.col("shards").cast("array<string>"), ","))
 
 
 def op8_ppm_language(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,13 +77,15 @@ f AS (SELECT arg_min(unit, struct_pack(ratio, idx)) AS unit FROM u WHERE unit *
 t AS (SELECT u.* EXCLUDE (unit), least((3 * source_size)::DOUBLE, f.unit * weight) AS target FROM u, f),
 k AS (SELECT *, target / sum(target) OVER () * blocks AS share FROM t),
 q AS (SELECT idx, blocks, target / (2 * unnest(range(0, ceil(share + 2)::BIGINT)) + 1) AS quotient FROM k WHERE target > 0),
-a AS (SELECT idx, count(*) AS quota FROM (SELECT *, row_number() OVER (ORDER BY quotient DESC, idx) AS n FROM q) WHERE n <= blocks GROUP BY idx),
-g AS (SELECT k.*, least(coalesce(quota, 0) * (total::DOUBLE / blocks), (3 * source_size)::DOUBLE) AS tokens FROM k LEFT JOIN a USING (idx)),
+a0 AS (SELECT * FROM (SELECT *, row_number() OVER (ORDER BY quotient DESC, idx) AS n FROM q) WHERE n <= blocks),
+a AS (SELECT idx, count(*) AS quota, list_transform(range(0, 8), lambda j: len(list_filter(list(n), lambda x: (x - 1) % 8 <= j))) AS upto FROM a0 GROUP BY idx),
+g AS (SELECT k.*, list_transform(upto, lambda x: x * (total::DOUBLE / blocks)) AS bounds, least(coalesce(quota, 0) * (total::DOUBLE / blocks), (3 * source_size)::DOUBLE) AS tokens FROM k LEFT JOIN a USING (idx)),
 p AS (SELECT *, CASE WHEN source_size > 0 THEN floor(tokens / source_size)::INT ELSE 0 END AS passes FROM g),
 d AS (SELECT m.*, sum(size) OVER (PARTITION BY source ORDER BY key, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - size / 2.0 AS middle FROM m),
-r AS (SELECT d.doc_id, size, source_size, target, passes + CASE WHEN source_size > 0 AND middle <= tokens - passes * source_size THEN 1 ELSE 0 END AS times
+r AS (SELECT d.doc_id, size, source_size, target, middle, list_transform(bounds, lambda b: least(b, tokens)) AS bounds, passes + CASE WHEN source_size > 0 AND middle <= tokens - passes * source_size THEN 1 ELSE 0 END AS times
   FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source)
-SELECT doc_id, size, source_size, target, (size * times)::BIGINT AS taken, times::INT AS times FROM r
+SELECT doc_id, size, source_size, target, (size * times)::BIGINT AS taken, times::INT AS times,
+  coalesce(array_to_string(list_transform(range(0, times), lambda i: least(len(list_filter(bounds, lambda b: b <= i * source_size + middle)), 7)), ','), '') AS shards FROM r
 """
 
 

@@ -398,22 +398,35 @@ def test_sainte_lague_equals_one_by_one():
 
 
 def test_mix(spark, real):
-    got = frame(apportion.mix_documents(real))
+    got = frame(apportion.mix_documents(real)).drop(columns="shards")
     src = frame(real)
     assert got["size"].tolist() == [len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for t in src.text]
     assert (got.taken <= 3 * got["size"]).all()
     big = src.groupby("source").apply(lambda g: got["size"][g.index].max(), include_groups=False)
     for s, g in got.groupby(src.source):
         assert abs(g.taken.sum() - g.target.iloc[0]) <= big[s] + 1 and g.source_size.iloc[0] == g["size"].sum()
-    assert frame(apportion.mix_documents(real.repartition(5))).equals(got)
+    assert frame(apportion.mix_documents(real.repartition(5))).drop(columns="shards").equals(got)
     mixed = Counter(apportion.mix_rows(real).toPandas().doc_id)
     assert mixed == Counter({i: t for i, t in zip(got.doc_id, got.times) if t})
 
 
-def test_quotas_add_up(spark, real):
-    plan, quotas = apportion.plan_mix(apportion.measured(real), blocks=1000, shards=8)
-    per = quotas.groupBy("shard").agg(F.sum("quota").alias("n")).toPandas().n
+def test_shards_get_their_quotas(spark, real):
+    """Quotas add up, and each shard's taken words come near its blocks, by one document at most."""
+    plan = apportion.plan_mix(apportion.measured(real), blocks=1000, shards=8).toPandas()
+    per = np.stack(plan.quotas).sum(axis=0)
     assert per.sum() >= 1000 and per.max() - per.min() <= 1
+    got = frame(apportion.mix_documents(real, blocks=1000))
+    unit = plan.source_size.sum() / per.sum()
+    source = frame(real).source
+    for r in plan.itertuples():
+        mine = got[(source == r.source).values]
+        assert mine.shards.map(len).tolist() == mine.times.tolist()
+        words = Counter()
+        for g in mine.itertuples():
+            for shard in g.shards:
+                words[shard] += g.size
+        for j, quota in enumerate(r.quotas):
+            assert abs(words[j] - quota * unit) <= mine["size"].max() + 1, (r.source, j)
 
 
 # ---- 8: languages
