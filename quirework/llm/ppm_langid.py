@@ -27,9 +27,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 ORDER = 3
-#: Training sample: so many labelled documents of each language, none longer than so many bytes.
+#: Training sample: so many labelled documents of each language, of each its first so many characters.
 SAMPLE_DOCS = 400
-SAMPLE_BYTES = 20_000
+SAMPLE_CHARACTERS = 20_000
+#: Bytes from which a text's code length is judged by itself.
+JUDGED_BYTES = 40
 SPARE = 4
 CHUNK = 1 << 20
 LETTER = re.compile(r"[^\W\d_]")
@@ -120,51 +122,50 @@ class PpmModel:
         sums = np.add.reduceat(np.concatenate([cost, np.zeros((1, cost.shape[1]), np.float32)]), edges, axis=0, dtype=np.float64)
         out[np.array(which)[full]] = sums[::2]
 
-    def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
-        """Best language and its share among the languages' likelihoods; ``und`` and 0 where nothing is to be read."""
+    def predict(self, texts: list[str | None]) -> tuple[list[str], list[float], list[bool]]:
+        """Best language, its share among the languages' likelihoods, and whether its tree codes the text at all.
+
+        ``und``, 0 and False where nothing is to be read. A tree codes a text of JUDGED_BYTES or more if it needs fewer bits
+        than symbols that are all equally likely would: the share says which language is best, however badly it fits.
+        """
         coded = [t.encode("utf-8", "replace") if t else b"" for t in texts]
-        langs, scores = [], []
+        langs, scores, fits = [], [], []
         if not self.langs:
-            return ["und"] * len(texts), [0.0] * len(texts)
-        for t, b in zip(texts, self.bits(coded)):
+            return ["und"] * len(texts), [0.0] * len(texts), [False] * len(texts)
+        for t, c, b in zip(texts, coded, self.bits(coded)):
             if not t or not LETTER.search(t):
                 langs.append("und")
                 scores.append(0.0)
+                fits.append(False)
                 continue
             best = int(np.argmin(b))
             langs.append(self.langs[best])
             scores.append(float(1 / np.exp2(np.maximum(b[best] - b, -1000)).sum()))
-        return langs, scores
+            fits.append(len(c) < JUDGED_BYTES or bool(b[best] < len(c) * np.log2(self.size)))
+        return langs, scores, fits
 
 
 def training_sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The bounded sample ``lang, text`` that the trees are counted from.
 
-    Of each language the SAMPLE_DOCS documents of smallest hashed id, among those
-    with a label, a text of 1 to SAMPLE_BYTES bytes and crc32(id) mod 5 not 0.
+    Of each language the SAMPLE_DOCS documents of smallest hash of id and text,
+    among those with a label, an id, a text that isn't empty, and crc32(id) mod 5
+    not 0. Repeated rows count once, so no id can fill a language's sample or
+    empty it.
     """
     text = F.col(text_col)
-    able = docs.where(
-        F.col(lang_col).isNotNull() & ~held_out(F.col(id_col)) & F.col(id_col).isNotNull()
-        & F.octet_length(text).between(1, SAMPLE_BYTES)
-    )
-    # one count per language says below which hash some SPARE times the sample is to be expected, so that only so many
-    # rows of a language meet to be ranked, however many it has
-    counts = able.groupBy(F.col(lang_col).alias("lang")).agg(F.count("*").alias("n")).collect()
-    if not counts:
-        return able.select(F.col(id_col).alias("__id"), F.col(lang_col).alias("lang"), text.alias("text"))
-    below = F.create_map(*[F.lit(x) for r in counts for x in (r.lang, min(1.0, SPARE * SAMPLE_DOCS / r.n))])
-    first = Window.partitionBy("lang").orderBy("h", "__id")
-    chosen = (
-        able.select(F.col(lang_col).alias("lang"), F.col(id_col).alias("__id"), F.pmod(F.xxhash64(F.col(id_col)), F.lit(1 << 40)).alias("h"))
-        .where(F.col("h") <= F.try_element_at(below, F.col("lang")) * (1 << 40))
-        .withColumn("r", F.row_number().over(first))
-        .where(F.col("r") <= SAMPLE_DOCS)
-    )
-    ids = chosen.select("__id").distinct()
-    return able.select(F.col(id_col).alias("__id"), F.col(lang_col).alias("lang"), text.alias("text")).join(
-        F.broadcast(ids), "__id", "left_semi"
-    )
+    able = docs.where(F.col(lang_col).isNotNull() & ~held_out(F.col(id_col)) & F.col(id_col).isNotNull() & (F.length(text) > 0))
+    hashed = F.pmod(F.xxhash64(F.col(id_col), text), F.lit(1 << 40))
+    able = able.select(F.col(lang_col).cast("string").alias("lang"), hashed.alias("h"), F.substring(text, 1, SAMPLE_CHARACTERS).alias("text"))
+    # one row per language says below which hash some SPARE times the sample is to be expected, so that only so many
+    # rows of a language meet to be ranked, however many it has; its smallest hash is always among them
+    seen = able.groupBy("lang").agg(F.approx_count_distinct("h").alias("n"), F.min("h").alias("least")).collect()
+    if not seen:
+        return able.select("lang", "text")
+    below = F.create_map(*[F.lit(x) for r in seen for x in (r.lang, max(int(min(1.0, SPARE * SAMPLE_DOCS / r.n) * (1 << 40)), r.least))])
+    first = Window.partitionBy("lang").orderBy("h", "text")
+    near = able.where(F.col("h") <= F.try_element_at(below, F.col("lang"))).groupBy("lang", "h").agg(F.min("text").alias("text"))
+    return near.withColumn("r", F.row_number().over(first)).where(F.col("r") <= SAMPLE_DOCS).select("lang", "text")
 
 
 def held_out(doc_id):
@@ -179,17 +180,17 @@ def train(docs: DataFrame, **columns: str) -> PpmModel:
 
 
 def with_language(docs: DataFrame, model: PpmModel, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``lang_pred`` and ``score`` (0 to 1), from the text alone."""
+    """``docs`` with ``lang_pred``, ``score`` (0 to 1) and ``fits`` (its tree codes the text), from the text alone."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("lang string, score double")
+    @F.pandas_udf("lang string, score double, fits boolean")
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for s in batches:
-            langs, scores = shared.value.predict([None if pd.isna(t) else t for t in s])
-            yield pd.DataFrame({"lang": langs, "score": scores})
+            langs, scores, fits = shared.value.predict([None if pd.isna(t) else t for t in s])
+            yield pd.DataFrame({"lang": langs, "score": scores, "fits": fits})
 
     found = docs.withColumn("__found", predict(F.col(text_col).cast("string")))
-    return found.withColumns({"lang_pred": F.col("__found.lang"), "score": F.col("__found.score")}).drop("__found")
+    return found.withColumns({"lang_pred": F.col("__found.lang"), "score": F.col("__found.score"), "fits": F.col("__found.fits")}).drop("__found")
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -207,9 +208,10 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 
 
 def keep_identified(docs: DataFrame, least: float = 0.5, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """Rows of ``docs`` whose language is told with at least that score; columns unchanged.
+    """Rows of ``docs`` whose language is told with at least that score and whose text its tree codes; columns unchanged.
 
-    Where no label can be learned from, nothing can be told and nothing is rejected.
+    Null, empty and letterless texts go; repeated rows stay or go together; an
+    empty table gives no rows. Where no label can be learned from, nothing can be told and nothing is rejected.
     """
     names = docs.columns
     model = train(docs, id_col=id_col, text_col=text_col, lang_col=lang_col)
@@ -217,5 +219,5 @@ def keep_identified(docs: DataFrame, least: float = 0.5, id_col: str = "doc_id",
         return docs
     plain = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)])
     at = [c.lower() for c in names].index(text_col.lower())
-    found = with_language(plain, model, f"c{at}").where((F.col("lang_pred") != "und") & (F.col("score") >= least))
+    found = with_language(plain, model, f"c{at}").where((F.col("lang_pred") != "und") & (F.col("score") >= least) & F.col("fits"))
     return found.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)])

@@ -478,6 +478,28 @@ def test_language_accuracy_and_edges(spark, sf, real):
     assert frame(ppm_langid.with_language(blind, model)).lang_pred.equals(frame(ppm_langid.with_language(real, model)).lang_pred)
 
 
+def test_languages_keep_their_sample(spark, real):
+    """Repeated ids neither fill nor empty a language's sample, and languages of long texts only are learned."""
+    a, b = [i for i in range(100) if zlib.crc32(str(i).encode()) % 5][:2]
+    hot = spark.createDataFrame([(a, "eins zwei drei vier", "xx")] * 3000 + [(a, f"fünf sechs {i}", "xx") for i in range(50)] + [(b, "ooo aaa " * 5000, "yy")], "doc_id long, text string, lang string")
+    rows = ppm_langid.training_sample(real.select("doc_id", "text", "lang").unionByName(hot)).toPandas()
+    counts = rows.lang.value_counts()
+    assert counts["xx"] == 51 and counts["yy"] == 1 and counts.max() <= ppm_langid.SAMPLE_DOCS
+    assert rows.text.str.len().max() <= ppm_langid.SAMPLE_CHARACTERS
+    empty = ppm_langid.training_sample(docs(spark, [(1, None, "en"), (2, "", "en"), (None, "text", "en"), (3, "text")]))
+    assert empty.count() == 0
+
+
+def test_language_stage_rejects_what_no_tree_codes(spark, real):
+    rng = random.Random(12)
+    noise = ["".join(rng.choice("qxzjkvwy0#~^|") for _ in range(400)), "мир труд май " * 20, "日本語の文章です" * 20, "...", None, ""]
+    d = real.unionByName(docs(spark, [(10**6 + i, t) for i, t in enumerate(noise)]))
+    kept = {r.doc_id for r in ppm_langid.keep_identified(d).collect()}
+    assert not {i for i in kept if i >= 10**6}
+    letters = {r.doc_id for r in real.collect() if re.search(r"[^\W\d_]", r.text or "")}
+    assert len(letters - kept) <= 0.01 * len(letters)
+
+
 # ---- 9: line templates
 
 
