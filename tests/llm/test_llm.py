@@ -269,6 +269,9 @@ def test_capture_look_up(spark, sf):
     warc.build_index(warc.read_entries(spark, base + "/warc"), base + "/index", per_block=5)
     index = warc.CaptureIndex(spark, base + "/index")
     assert len(index.firsts) >= 10
+    blocks = spark.read.schema(warc.BLOCKS).parquet(base + "/index")
+    few, firsts = warc.ranges(blocks, 4)  # ranges of several blocks
+    assert len(firsts) <= 4 and few.select("range").distinct().count() == len(firsts)
     for r in pages.limit(5).collect():
         entries = index.lookup(r.url)
         assert r.page_id in [e["page_id"] for e in entries]
@@ -277,6 +280,24 @@ def test_capture_look_up(spark, sf):
     assert index.lookup("http://nowhere.invalid/") == []
 
 
+def test_one_url_of_many_pages(spark):
+    """A URL that fills most blocks of the index, with others before and after it."""
+    rows = [(i, "http://b.org/same", f"page {i}") for i in range(3500)] + [(9000, "http://a.org/", "x"), (9001, "http://c.org/", "y"), (9001, "http://c.org/", "y")]
+    got = warc.round_trip(spark.createDataFrame(rows, "page_id long, url string, html string")).toPandas()
+    assert sorted(got.page_id) == sorted(r[0] for r in rows)
+
+
+def test_keys_are_found_in_their_blocks():
+    rng = random.Random(13)
+    keys = sorted(rng.choice("abcdefgh") * rng.randrange(1, 3) for _ in range(60))
+    blocks = [keys[i : i + 4] for i in range(0, 60, 4)]
+    firsts, lasts = [b[0] for b in blocks], [b[-1] for b in blocks]
+    for key in {*keys, "", "zz", "cc1"}:
+        assert {i for i, b in enumerate(blocks) if key in b} <= set(warc._matching(firsts, lasts, key))
+        coarse = firsts[::3]
+        assert {i // 3 for i, b in enumerate(blocks) if key in b} <= set(warc._in_ranges(coarse, key))
+
+
 def test_url_keys():
     assert warc.url_key("https://www.Example.com:8080/A?b=1") == "com,example:8080)/A?b=1"
     assert warc.url_key("http://a.b.org") == "org,b,a)/"
