@@ -5,6 +5,7 @@ A bitmap is a hex string, four pixels a digit, row by row, with its width.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -79,48 +80,66 @@ def decided(strings: DataFrame, decisions: DataFrame) -> DataFrame:
     return out.join(yes, "image", "left_anti").unionByName(out.join(confirmed, ["image", "str"], "left_semi"))
 
 
-def similarity(a: np.ndarray, b: np.ndarray) -> float:
-    """Best product of precision and recall over shifts of up to two pixels each way."""
-    na, nb = int(a.sum()), int(b.sum())
-    if not na or not nb:
-        return float(na == nb)
-    h, w = max(a.shape[0], b.shape[0]) + 2 * SHIFT, max(a.shape[1], b.shape[1]) + 2 * SHIFT
-    base = np.zeros((h, w), bool)
-    base[SHIFT : SHIFT + a.shape[0], SHIFT : SHIFT + a.shape[1]] = a
-    best = 0
+def similarities(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For pairs of bitmaps (pair, row, column), the best product of precision and recall over shifts of up to two pixels."""
+    na, nb = a.sum(axis=(1, 2), dtype=np.int64), b.sum(axis=(1, 2), dtype=np.int64)
+    h, w = max(a.shape[1], b.shape[1]) + 2 * SHIFT, max(a.shape[2], b.shape[2]) + 2 * SHIFT
+    base = np.zeros((len(a), h, w), bool)
+    base[:, SHIFT : SHIFT + a.shape[1], SHIFT : SHIFT + a.shape[2]] = a
+    best = np.zeros(len(a), np.int64)
     for dy in range(2 * SHIFT + 1):
         for dx in range(2 * SHIFT + 1):
-            part = base[dy : dy + b.shape[0], dx : dx + b.shape[1]]
-            best = max(best, int((part & b[: part.shape[0], : part.shape[1]]).sum()))
-    return best / na * (best / nb)
+            part = base[:, dy : dy + b.shape[1], dx : dx + b.shape[2]]
+            both = part & b[:, : part.shape[1], : part.shape[2]]
+            best = np.maximum(best, both.sum(axis=(1, 2), dtype=np.int64))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return np.where((na > 0) & (nb > 0), best / na * (best / nb), (na == nb).astype(float))
+
+
+def similarity(a: np.ndarray, b: np.ndarray) -> float:
+    return float(similarities(a[None].astype(bool), b[None].astype(bool))[0])
 
 
 def _bitmap(image: str, width: int) -> np.ndarray:
-    b = np.unpackbits(np.frombuffer(bytes.fromhex(image + "0" * (len(image) % 2)), np.uint8)).astype(bool)
-    return b[: len(b) // width * width].reshape(-1, width)
+    return _bitmaps([image], width)[0]
+
+
+def _bitmaps(images: list[str], width: int) -> np.ndarray:
+    """Bitmaps of images of one length."""
+    even = "0" * (len(images[0]) % 2)
+    b = np.unpackbits(np.frombuffer(bytes.fromhex("".join(i + even for i in images)), np.uint8).reshape(len(images), -1), axis=1).astype(bool)
+    return b[:, : b.shape[1] // width * width].reshape(len(images), -1, width)
 
 
 def similar_pairs(glyphs: DataFrame, least: float = 0.5, reach: int = 2) -> DataFrame:
     """``a, b, sim`` of glyphs (``glyph_id, image, width``) whose ink boxes differ by ``reach`` at most and whose
     similarity is at least ``least``.
 
-    Ink height is the blocking key: one side goes to all keys in reach. Pixel
-    counts bound the similarity, so hopeless pairs are left out before scoring.
+    Ink height and the magnitude of the pixel count are the blocking key: one
+    side goes to all keys in reach. The lesser count over the greater bounds the
+    similarity, so counts of similar glyphs are one magnitude apart at most, and
+    other hopeless pairs are left out before scoring. Pairs are scored by batch.
     """
     g = glyphs.select("glyph_id", "image", "width", *margins(F.col("image"), F.col("width")))
     g = g.where("top >= 0").withColumns({
         "h": F.size(rows(F.col("image"), F.col("width"))) - F.col("top") - F.col("bottom"),
         "w": F.col("width") - F.col("left") - F.col("right"), "ink": pixel_count(F.col("image")),
     })
-    left = g.select(F.col("glyph_id").alias("a"), F.col("image").alias("ia"), F.col("width").alias("wa"), F.col("w").alias("aw"), F.col("ink").alias("na"), F.col("h").alias("h"))
-    right = g.select(F.col("glyph_id").alias("b"), F.col("image").alias("ib"), F.col("width").alias("wb"), F.col("w").alias("bw"), F.col("ink").alias("nb"), F.explode(F.sequence(F.col("h") - reach, F.col("h") + reach)).alias("h"))
+    g = g.withColumn("m", F.floor(F.log("ink") / math.log(1 / min(max(least, 0.01), 0.99))).cast("int"))
+    left = g.select(F.col("glyph_id").alias("a"), F.col("image").alias("ia"), F.col("width").alias("wa"), F.col("w").alias("aw"), F.col("ink").alias("na"), F.col("h").alias("h"), F.col("m"))
+    right = g.select(F.col("glyph_id").alias("b"), F.col("image").alias("ib"), F.col("width").alias("wb"), F.col("w").alias("bw"), F.col("ink").alias("nb"), F.explode(F.sequence(F.col("h") - reach, F.col("h") + reach)).alias("h"), "m")
+    right = right.withColumn("m", F.explode(F.sequence(F.col("m") - 1, F.col("m") + 1)))
     bound = F.least("na", "nb") / F.greatest("na", "nb")
-    pairs = left.join(right, "h").where((F.col("a") < F.col("b")) & (F.abs(F.col("aw") - F.col("bw")) <= reach) & (bound >= least))
+    pairs = left.join(right, ["h", "m"]).where((F.col("a") < F.col("b")) & (F.abs(F.col("aw") - F.col("bw")) <= reach) & (bound >= least))
 
     @F.pandas_udf("double")
     def score(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for ia, wa, ib, wb in batches:
-            yield pd.Series([similarity(_bitmap(x, w), _bitmap(y, v)) for x, w, y, v in zip(ia, wa, ib, wb)], dtype=float)
+            out = np.zeros(len(ia))
+            shapes = pd.DataFrame({"a": ia.str.len(), "wa": wa, "b": ib.str.len(), "wb": wb})
+            for (_, w, _, v), at in shapes.groupby(["a", "wa", "b", "wb"]).indices.items():
+                out[at] = similarities(_bitmaps(ia.iloc[at].tolist(), w), _bitmaps(ib.iloc[at].tolist(), v))
+            yield pd.Series(out)
 
     return pairs.select("a", "b", score("ia", "wa", "ib", "wb").alias("sim")).where(F.col("sim") >= least)
 
@@ -194,7 +213,7 @@ def alignment_similarity(a: np.ndarray, b: np.ndarray) -> float:
     return max(float((x & y).sum() / x.sum() * ((x & y).sum() / y.sum())) for x, y in pairs)
 
 
-def clusters(pairs: DataFrame, least: float = 0.0, max_rounds: int = 20) -> DataFrame:
+def clusters(pairs: DataFrame, least: float = 0.0) -> DataFrame:
     """``glyph, cluster``: mutual best matches seed clusters; a glyph whose best match has a cluster joins it, until
     nothing changes. Clusters are named after their seed's smaller glyph."""
     from quirework.plans.scratch import written
@@ -205,7 +224,7 @@ def clusters(pairs: DataFrame, least: float = 0.0, max_rounds: int = 20) -> Data
     best = written(both.withColumn("k", F.row_number().over(w)).where("k = 1").select(F.col("a").alias("glyph"), F.col("b").alias("best")), "best")
     seeds = best.join(best.select(F.col("glyph").alias("best"), F.col("best").alias("glyph")), ["glyph", "best"])
     done = written(seeds.select("glyph", F.least("glyph", "best").alias("cluster")), "clusters")
-    for _ in range(max_rounds):
+    while True:  # each round adds a glyph at least
         known = done.select(F.col("glyph").alias("best"), "cluster")
         new = written(best.join(done.select("glyph"), "glyph", "left_anti").join(known, "best").select("glyph", "cluster"), "joined")
         if new.isEmpty():

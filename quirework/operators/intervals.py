@@ -26,28 +26,44 @@ def _named(spans: DataFrame, key: str) -> DataFrame:
     return spans.select(*[F.col(c).alias(c if c == key else f"q_{c}") for c in spans.columns])
 
 
-def spanning(annotations: DataFrame, spans: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Annotations that reach over the whole of a span (``first_pos, last_pos``); span columns get prefix ``q_``."""
-    return annotations.join(_named(spans, key), key).where("first_pos <= q_first_pos and q_last_pos <= last_pos")
+def _bin(at, width: int):
+    return div(F.col(at), F.lit(width))
 
 
-def overlapping(annotations: DataFrame, spans: DataFrame, key: str = "doc_id") -> DataFrame:
-    return annotations.join(_named(spans, key), key).where("last_pos >= q_first_pos and first_pos <= q_last_pos")
+def _binned(df: DataFrame, first: str, last: str, width: int) -> DataFrame:
+    """Each row once for every bin of positions that it meets."""
+    return df.withColumn("bin", F.explode(F.sequence(_bin(first, width), _bin(last, width))))
 
 
-def binned_overlapping(annotations: DataFrame, spans: DataFrame, width: int = 32, key: str = "doc_id") -> DataFrame:
-    """``overlapping`` by bins of positions: each side goes to the bins it meets, a pair counts in the first they share."""
-    bins = lambda df: df.withColumn("bin", F.explode(F.sequence(div(F.col("first_pos"), F.lit(width)), div(F.col("last_pos"), F.lit(width)))))
-    b = bins(spans)
-    q = b.select(*[F.col(c).alias(c if c in (key, "bin") else f"q_{c}") for c in b.columns])
-    pairs = bins(annotations).join(q, [key, "bin"]).where("last_pos >= q_first_pos and first_pos <= q_last_pos")
+def spanning(annotations: DataFrame, spans: DataFrame, key: str = "doc_id", width: int = 32) -> DataFrame:
+    """Annotations that reach over the whole of a span (``first_pos, last_pos``); span columns get prefix ``q_``.
+
+    An annotation goes to all bins that it meets, a span to that of its first position, so a pair meets once.
+    """
+    q = _named(spans, key).withColumn("bin", _bin("q_first_pos", width))
+    pairs = _binned(annotations, "first_pos", "last_pos", width).join(q, [key, "bin"])
+    return pairs.where("first_pos <= q_first_pos and q_last_pos <= last_pos").drop("bin")
+
+
+def overlapping(annotations: DataFrame, spans: DataFrame, key: str = "doc_id", width: int = 32) -> DataFrame:
+    """Pairs of annotations and spans that share a position, by bins: a pair counts in the first bin that it shares."""
+    q = _binned(_named(spans, key), "q_first_pos", "q_last_pos", width)
+    pairs = _binned(annotations, "first_pos", "last_pos", width).join(q, [key, "bin"]).where("last_pos >= q_first_pos and first_pos <= q_last_pos")
     return pairs.where(F.col("bin") == div(F.greatest("first_pos", "q_first_pos"), F.lit(width))).drop("bin")
 
 
-def inside(annotations: DataFrame, parents: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Children of parents, both as half-open token ranges ``start, end``; ``rel_start, rel_end`` count from the parent's start."""
-    q = parents.select(*[F.col(c).alias(c if c == key else f"q_{c}") for c in parents.columns])
-    hit = annotations.join(q, key).where("start >= q_start and start <= q_end - 1 and end >= q_start + 1 and end <= q_end")
+binned_overlapping = overlapping
+
+
+def inside(annotations: DataFrame, parents: DataFrame, key: str = "doc_id", width: int = 32) -> DataFrame:
+    """Children of parents, both as half-open token ranges ``start, end``; ``rel_start, rel_end`` count from the parent's start.
+
+    A parent goes to all bins that it meets, a child to that of its start.
+    """
+    q = parents.select(*[F.col(c).alias(c if c == key else f"q_{c}") for c in parents.columns]).where("q_start < q_end")
+    q = q.withColumn("bin", F.explode(F.sequence(_bin("q_start", width), div(F.col("q_end") - 1, F.lit(width)))))
+    hit = annotations.withColumn("bin", _bin("start", width)).join(q, [key, "bin"]).drop("bin")
+    hit = hit.where("start >= q_start and start <= q_end - 1 and end >= q_start + 1 and end <= q_end")
     return hit.withColumns({"rel_start": F.col("start") - F.col("q_start"), "rel_end": F.col("end") - F.col("q_start")})
 
 
@@ -104,7 +120,7 @@ def cut_at(annotations: DataFrame, cuts: DataFrame, key: str = "doc_id") -> Data
 def resolve_cells(annotations: DataFrame, word_cells: DataFrame, mode: str = "split", key: str = "doc_id") -> DataFrame:
     """Annotations over table cells (``word_cells``: key, pos, cell): those within one cell stay; others are split by
     runs of cells, removed, or cut to their first (cutToStart) or last (cutToEnd) cell."""
-    w = annotations.join(word_cells, key).where("pos >= first_pos and pos <= last_pos")
+    w = annotations.withColumn("pos", F.explode(F.sequence("first_pos", "last_pos"))).join(word_cells, [key, "pos"])
     by = Window.partitionBy(key, "ann_id").orderBy("pos")
     w = w.withColumn("new", (~F.col("cell").eqNullSafe(F.lag("cell").over(by))).cast("int"))
     runs = (

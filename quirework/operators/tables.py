@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quirework.functions.geometry import Box, box, contains, overlaps, point_in
+from quirework.functions.geometry import Box, box, contains, div, overlaps, point_in
 from quirework.functions.text import csv_cell, xml_escape
 from quirework.operators.streams import gaps, number_streams, voted_gaps
 from quirework.plans.scratch import written
 
 TABLE = ["doc_id", "table_id"]
+#: Height of the bands by which words meet cells: about a line.
+BAND = 32
 
 
 def bands(words: DataFrame, axis: str, least: int, key: list[str] = TABLE, least_count: int = -1, vote: bool = True) -> DataFrame:
@@ -73,9 +75,14 @@ def spurious(existing: DataFrame, used: DataFrame, key: list[str] = TABLE) -> Da
 
 
 def words_in_cells(words: DataFrame, cells_: DataFrame, key: list[str] = TABLE) -> DataFrame:
-    """Each word with the cell its centre lies in; with overlapping cells the first by height, then place."""
+    """Each word with the cell its centre lies in; with overlapping cells the first by height, then place.
+
+    Words meet the cells of their band of BAND units of height, not all cells of the table.
+    """
     c = cells_.select(*key, "row", "col", "cell_id", *[F.col(x).alias(f"o_{x}") for x in "lrtb"])
-    j = words.drop("row", "col", "cell_id").join(c, key).where(point_in(F.col("cx"), F.col("cy"), box("o_")))
+    c = c.withColumn("band", F.explode(F.sequence(div(F.col("o_t"), F.lit(BAND)), div(F.col("o_b"), F.lit(BAND)))))
+    w = words.drop("row", "col", "cell_id").withColumn("band", div(F.col("cy"), F.lit(BAND)))
+    j = w.join(c, [*key, "band"]).drop("band").where(point_in(F.col("cx"), F.col("cy"), box("o_")))
     first = Window.partitionBy(*key, "pos").orderBy(F.col("o_t") + F.col("o_b"), F.col("o_l") + F.col("o_r"), "row", "col")
     return j.withColumn("k", F.row_number().over(first)).where("k = 1").drop("k")
 
@@ -208,10 +215,10 @@ def split_band(words: DataFrame, band: DataFrame, axis: str, at_low: int, at_hig
     return parts.unionByName(whole)
 
 
-def merge_cells(cells_: DataFrame, area: DataFrame, key: list[str] = TABLE, max_rounds: int = 20) -> DataFrame:
+def merge_cells(cells_: DataFrame, area: DataFrame, key: list[str] = TABLE) -> DataFrame:
     """Merge the cells that meet an area, which grows over every cell it cuts until nothing changes."""
     now = area.select(*key, *[F.col(c).alias(f"o_{c}") for c in "lrtb"])
-    for _ in range(max_rounds):
+    while True:
         hit = cells_.join(now, key).where(overlaps(box(), box("o_")))
         grown = written(
             hit.groupBy(*key).agg(*[F.min(F.least(c, f"o_{c}")).alias(f"o_{c}") for c in "lt"], *[F.max(F.greatest(c, f"o_{c}")).alias(f"o_{c}") for c in "rb"])

@@ -19,10 +19,17 @@ def _n(x) -> Column:
     return x.cast("long")
 
 
+def _dealt(docs: DataFrame) -> DataFrame:
+    """Texts of fewer scan tasks than cores dealt to all cores; larger tables are read where they lie."""
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    # by a hash of the id: a partitioning by the id itself would be taken for that of joins and unions further on
+    return docs.repartition(cores, F.xxhash64("doc_id")) if docs.rdd.getNumPartitions() < cores else docs
+
+
 def words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``doc_id, page_id, pos, line, col, l, r, t, b, cx, cy, str, rel, direction, font_size, bold``."""
     tokens = F.filter(F.split("text", r"\s+"), lambda x: x != "")
-    w = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.posexplode(tokens).alias("i", "str"))
+    w = _dealt(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")).select("doc_id", F.posexplode(tokens).alias("i", "str"))
     i = F.col("i").cast("long")
     on_page = i % 400
     w = w.select(
