@@ -52,9 +52,6 @@ def overlapping(annotations: DataFrame, spans: DataFrame, key: str = "doc_id", w
     return pairs.where(F.col("bin") == div(F.greatest("first_pos", "q_first_pos"), F.lit(width))).drop("bin")
 
 
-binned_overlapping = overlapping
-
-
 def inside(annotations: DataFrame, parents: DataFrame, key: str = "doc_id", width: int = 32) -> DataFrame:
     """Children of parents, both as half-open token ranges ``start, end``; ``rel_start, rel_end`` count from the parent's start.
 

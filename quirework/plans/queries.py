@@ -167,7 +167,7 @@ def _spans(w):
        "WHERE last_pos >= qf AND first_pos <= ql GROUP BY ALL")
 def annotations_overlapping(spark, d):
     w = _words(spark, d)
-    hit = intervals.binned_overlapping(layout.annotations(w), _spans(w))
+    hit = intervals.overlapping(layout.annotations(w), _spans(w))
     return hit.groupBy("doc_id", F.col("q_first_pos").alias("span")).agg(F.count("*").alias("n"), F.min("first_pos").alias("first"), F.max("last_pos").alias("last"))
 
 

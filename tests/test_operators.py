@@ -38,8 +38,18 @@ def test_binned_join_equals_plain(spark):
     w = words(spark, [(random.randrange(3), 0, i, x := random.randrange(500), x + 10, y := random.randrange(500), y + 10, "w", "S") for i in range(300)])
     boxes = spark.createDataFrame([(random.randrange(3), 0, i, x := random.randrange(400), x + random.randrange(1, 150), y := random.randrange(400), y + random.randrange(1, 150)) for i in range(40)], "doc_id long, page_id long, n long, l long, r long, t long, b long")
     assert rows(spatial.words_inside(w, boxes), "pos", "o_n") == rows(spatial.binned_words_inside(w, boxes, 64), "pos", "o_n")
-    spans = spark.createDataFrame([(random.randrange(3), x := random.randrange(200), x + random.randrange(60), i) for i in range(60)], "doc_id long, first_pos long, last_pos long, k long")
-    assert rows(intervals.overlapping(spans, spans), "k", "q_k") == rows(intervals.binned_overlapping(spans, spans, 16), "k", "q_k")
+
+
+def test_interval_joins_equal_all_pairs(spark):
+    random.seed(4)
+    data = [(random.randrange(3), x := random.randrange(200), x + random.randrange(90), i) for i in range(80)] + [(1, 31, 32, 80), (1, 32, 32, 81), (1, 0, 63, 82)]
+    spans = spark.createDataFrame(data, "doc_id long, first_pos long, last_pos long, k long")
+    tokens = spans.select("doc_id", F.col("first_pos").alias("start"), F.col("last_pos").alias("end"), "k")
+    pairs = [(a, q) for a in data for q in data if a[0] == q[0]]
+    of = lambda test: sorted((a[3], q[3]) for a, q in pairs if test(a, q))
+    assert rows(intervals.overlapping(spans, spans), "k", "q_k") == of(lambda a, q: a[2] >= q[1] and a[1] <= q[2])
+    assert rows(intervals.spanning(spans, spans), "k", "q_k") == of(lambda a, q: a[1] <= q[1] and q[2] <= a[2])
+    assert rows(intervals.inside(tokens, tokens), "k", "q_k") == of(lambda a, q: q[1] <= a[1] <= q[2] - 1 and q[1] + 1 <= a[2] <= q[2])
 
 
 def test_gaps_and_vote(spark):
