@@ -752,3 +752,6 @@ def extra_orders_by_nation(spark, d):
     j = o.join(c, o.o_custkey == c.c_custkey).join(n, c.c_nationkey == n.n_nationkey)
     return j.groupBy(F.col("n_nationkey").alias("nation")).agg(F.count("*").alias("orders"), F.round(F.sum("o_totalprice"), 2).alias("total"))
 
+
+
+from quirework.plans import structure  # noqa: E402, F401  registers its queries with those above
