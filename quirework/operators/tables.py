@@ -23,14 +23,19 @@ def bands(words: DataFrame, axis: str, least: int, key: list[str] = TABLE, least
     dropped.
     """
     low, high = ("t", "b") if axis == "y" else ("l", "r")
-    ext = words.groupBy(*key).agg(F.min(low).alias("origin"), F.max(high).alias("end"))
-    shifted = words.join(ext, key).select(*key, (F.col(low) - F.col("origin")).alias("lo"), (F.col(high) - F.col("origin")).alias("hi"))
-    g = gaps(shifted, "lo", "hi", least, key)
-    g = voted_gaps(g, key, least_count) if vote else g
-    w = Window.partitionBy(*key).orderBy("gap_start")
-    before = g.select(*key, F.coalesce(F.lag("gap_end").over(w), F.lit(0).cast("long")).alias("a"), F.col("gap_start").alias("z"))
-    last = g.groupBy(*key).agg(F.max("gap_end").alias("a")).join(ext, key).select(*key, "a", (F.col("end") - F.col("origin")).alias("z"))
-    out = before.unionByName(last).where("a < z").join(ext.select(*key, "origin"), key)
+    whole = Window.partitionBy(*key)
+    origin, end = F.min(low).over(whole), F.max(high).over(whole)
+    placed = words.select(*key, low, high, origin.alias("origin"), (end - origin).alias("extent"))
+    shifted = placed.select(*key, "origin", "extent", (F.col(low) - F.col("origin")).alias("lo"), (F.col(high) - F.col("origin")).alias("hi"))
+    # origin and extent are one value a table, so they can go along as keys; all steps need the words dealt once, by table
+    each = [*key, "origin", "extent"]
+    g = gaps(shifted, "lo", "hi", least, each)
+    g = voted_gaps(g, each, least_count) if vote else g
+    w = Window.partitionBy(*each).orderBy("gap_start")
+    before = F.struct(F.coalesce(F.lag("gap_end").over(w), F.lit(0).cast("long")).alias("a"), F.col("gap_start").alias("z"))
+    after = F.when(F.lead("gap_end").over(w).isNull(), F.struct(F.col("gap_end").alias("a"), F.col("extent").alias("z")))
+    out = g.select(*key, "origin", before.alias("x"), after.alias("y")).select(*key, "origin", F.explode(F.array("x", "y")).alias("x"))
+    out = out.where("x.a < x.z").select(*key, "origin", "x.*")
     number = Window.partitionBy(*key).orderBy("a")
     return out.select(
         *key, (F.row_number().over(number) - 1).cast("long").alias("n"), (F.col("a") + F.col("origin")).alias("low"), (F.col("z") + F.col("origin")).alias("high")
