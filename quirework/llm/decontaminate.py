@@ -38,7 +38,7 @@ LEAST_CHARACTERS = 20
 #: repetitions. A walk that lingers tells little; its window is left to other repetitions.
 WALKS = ((LEAST_CHARACTERS, 18, 9, 6, 12), (48, 24, 12, 9, 10), (125, 28, 12, 10, 6))
 #: Places at which items of so many characters or more must share a key.
-PLACES = ((0, 1), (64, 2), (125, 3), (190, 4), (250, 5))
+PLACES = ((0, 1), (75, 2), (140, 3), (190, 4), (250, 5))
 #: Least share found of the copies that stay at SIMILARITY, held by the tests for every item length and kind of edit.
 RECALL = 0.9
 #: Characters that a packed window holds, five bits each.
@@ -51,7 +51,7 @@ _BINS = 4093
 SEED = 5
 CHUNK = 1 << 20
 BLOCK = 1 << 16
-#: Items are searched in slices of at most so many bytes of text, each sent to all executors (some 20 bytes a byte).
+#: Items are searched in slices of at most so many bytes of text, each sent to all executors (25 MB for 1 MB of items).
 SLICE_BYTES = 2 << 20
 
 _CODE, _SPACE, _START, _BREAK = 31, 32, 64, 128
