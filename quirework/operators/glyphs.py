@@ -10,6 +10,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -144,13 +146,126 @@ def similar_pairs(glyphs: DataFrame, least: float = 0.5, reach: int = 2) -> Data
     return pairs.select("a", "b", score("ia", "wa", "ib", "wb").alias("sim")).where(F.col("sim") >= least)
 
 
-def mutual_best(pairs: DataFrame) -> DataFrame:
-    """Pairs ``a < b`` each of which is the other's most similar (ties to the smaller id)."""
+def best_of_pairs(pairs: DataFrame) -> DataFrame:
+    """``a, b, sim``: the most similar ``b`` of each ``a``, in pairs of either order (ties to the smaller id)."""
     both = pairs.select("a", "b", "sim").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "sim"))
     w = Window.partitionBy("a").orderBy(F.col("sim").desc(), "b")
-    top = both.withColumn("k", F.row_number().over(w)).where("k = 1").select("a", "b", "sim")
-    back = top.select(F.col("a").alias("b"), F.col("b").alias("a"))
-    return top.join(back, ["a", "b"]).where("a < b")
+    return both.withColumn("k", F.row_number().over(w)).where("k = 1").select("a", "b", "sim")
+
+
+def _vectors(lists: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """Components of vectors, filled up with zeros, and which of them are there."""
+    size = pc.fill_null(pc.list_value_length(lists), 0).to_numpy()
+    flat = pc.list_flatten(lists)
+    at = np.repeat(np.arange(len(size)), size), np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+    out, there = np.zeros((len(size), max(size, default=0))), np.zeros((len(size), max(size, default=0)), bool)
+    out[at], there[at] = pc.fill_null(flat, 0).to_numpy(), flat.is_valid().to_numpy()
+    return out + 0.0, there
+
+
+def _products(x: np.ndarray, there: np.ndarray, y: np.ndarray, yonder: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of products of components that both have, added one by one and rounded to nine places; which have none."""
+    out, none = np.zeros(len(x)), np.ones(len(x), bool)
+    with np.errstate(all="ignore"):
+        for k in range(x.shape[1]):
+            both = there[:, k] & yonder[:, k]
+            out += np.where(both, x[:, k] * y[:, k], 0.0)
+            none &= ~both
+        r = np.copysign(np.floor(np.abs(out) * 1e9 + 0.5) / 1e9, out)
+    return np.where(np.isfinite(r), r, out), none
+
+
+def _best_in_block(ids: np.ndarray, x: np.ndarray, there: np.ndarray, others: np.ndarray, y: np.ndarray, yonder: np.ndarray) -> pa.Table:
+    """``a, b, sim``: for each row of ``x`` the row of ``y`` with the largest product and another id.
+
+    Equal rows of ``y`` are one column with its two smallest ids. A matrix
+    product leaves those columns that rounding may make the largest; they are
+    computed anew, one component after the other. Rows with missing or infinite
+    components take no part in the matrix product and are computed with all.
+    """
+    wide = np.concatenate([y, yonder, np.zeros((len(y), 1))], axis=1)
+    _, inverse = np.unique(wide.view(f"V{wide.shape[1] * wide.itemsize}").reshape(-1), return_inverse=True)
+    order = np.lexsort((others, inverse))
+    group, sorted_ids = inverse[order], others[order]
+    start = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+    first = sorted_ids[start]
+    more = np.flatnonzero(sorted_ids != first[group])
+    with_two, at = np.unique(group[more], return_index=True)
+    second, two = first.copy(), np.zeros(len(first), bool)
+    second[with_two], two[with_two] = sorted_ids[more[at]], True
+    y, yonder = y[order[start]], yonder[order[start]]
+
+    def plain(v: np.ndarray, has: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        with np.errstate(all="ignore"):
+            norm = np.sqrt((v * v).sum(axis=1))
+            ok = has.all(axis=1) & (norm < 1e150)
+        return ok, np.where(ok[:, None], v, 0.0), np.where(ok, norm, 0.0)
+
+    fine, flat, norm = plain(y, yonder)
+    by_id = np.argsort(first, kind="stable")
+    found: list[tuple[np.ndarray, ...]] = []
+    for begin in range(0, len(ids), 256):
+        own, v, has = ids[begin : begin + 256], x[begin : begin + 256], there[begin : begin + 256]
+        ok, rows_, length = plain(v, has)
+        s = rows_ @ flat.T
+        low, high = (np.searchsorted(first[by_id], own, side) for side in ("left", "right"))
+        n = high - low
+        r, c = np.repeat(np.arange(len(own)), n), by_id[np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())]
+        alone = r[~two[c]], c[~two[c]]
+        s[:, ~fine] = -np.inf
+        s[alone] = -np.inf
+        slack = 1.1e-9 + 4 * x.shape[1] * np.finfo(float).eps * length * norm.max()
+        maybe = (s >= (s.max(axis=1) - slack)[:, None]) | ~fine | ~ok[:, None]
+        maybe[alone] = False
+        r, c = np.nonzero(maybe)
+        sim, none = _products(v[r], has[r], y[c], yonder[c])
+        b = np.where(first[c] == own[r], second[c], first[c])
+        rank = np.where(none, 0, np.where(np.isnan(sim), 2, 1))
+        best = np.lexsort((b, np.where(rank == 1, -sim, 0), -rank, r))
+        best = best[np.unique(r[best], return_index=True)[1]]
+        found.append((own[r[best]], b[best], sim[best], none[best]))
+    a, b, sim, none = (np.concatenate(z) for z in zip(*found))
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "sim": pa.array(sim, pa.float64(), mask=none, from_pandas=False)})
+
+
+def best_of_vectors(vectors: DataFrame, key: str = "label", number: str = "vec_id", vector: str = "embedding", least: int = 512, most: int = 4096) -> DataFrame:
+    """``a, b, sim``: for each vector the other one with its key and the largest inner product, rounded to nine places
+    (ties to the smaller id), as :func:`best_of_pairs` finds it among all pairs.
+
+    A key's vectors are dealt to up to eight blocks of ``least`` rows, or more
+    of ``most`` rows; each pair of blocks is a group of its own, in which
+    matrix products compare all rows. No pairs of rows are made.
+    """
+    v = vectors.select(F.col(key).alias("key"), F.col(number).cast("long").alias("id"), F.col(vector).alias("v")).where("id is not null")
+    n = F.count("*")
+    blocks = v.groupBy("key").agg(F.greatest(F.ceil(n / most), F.least(F.lit(8), F.ceil(n / least))).cast("int").alias("blocks"))
+    dealt = v.join(blocks, "key").withColumn("mine", F.pmod(F.xxhash64("id", "v"), "blocks").cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "id", "v")
+
+    none = pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64()), "sim": pa.array([], pa.float64())})
+
+    def compared(key: tuple, rows_: pa.Table) -> pa.Table:
+        x, there = _vectors(rows_["v"])
+        ids = rows_["id"].to_numpy()
+        left = rows_["mine"].to_numpy() == key[1].as_py()
+        sides = [(left, left)] if key[1] == key[2] else [(left, ~left), (~left, left)]
+        return pa.concat_tables([none, *(_best_in_block(ids[p], x[p], there[p], ids[q], x[q], there[q]) for p, q in sides if p.any() and q.any())])
+
+    best = dealt.groupBy("key", "i", "j").applyInArrow(compared, "a long, b long, sim double")
+    best = best.groupBy("a").agg(F.max(F.struct("sim", (-F.col("b")).alias("b"))).alias("best"))
+    return best.select("a", (-F.col("best.b")).alias("b"), F.col("best.sim").alias("sim"))
+
+
+def mutual(best: DataFrame) -> DataFrame:
+    """Pairs ``a < b`` each of which is the other's best (``a, b, sim``)."""
+    back = best.select(F.col("a").alias("b"), F.col("b").alias("a"))
+    return best.join(back, ["a", "b"]).where("a < b")
+
+
+def mutual_best(pairs: DataFrame) -> DataFrame:
+    """Pairs ``a < b`` each of which is the other's most similar (ties to the smaller id)."""
+    return mutual(best_of_pairs(pairs))
 
 
 def signature(pixels: DataFrame, cells: int = 4) -> DataFrame:
@@ -214,14 +329,16 @@ def alignment_similarity(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def clusters(pairs: DataFrame, least: float = 0.0) -> DataFrame:
+    """:func:`clusters_of_best` for the best matches in ``pairs``."""
+    return clusters_of_best(best_of_pairs(pairs), least)
+
+
+def clusters_of_best(best: DataFrame, least: float = 0.0) -> DataFrame:
     """``glyph, cluster``: mutual best matches seed clusters; a glyph whose best match has a cluster joins it, until
     nothing changes. Clusters are named after their seed's smaller glyph."""
     from quirework.plans.scratch import written
 
-    p = pairs.where(F.col("sim") >= least)
-    both = p.select("a", "b", "sim").unionByName(p.select(F.col("b").alias("a"), F.col("a").alias("b"), "sim"))
-    w = Window.partitionBy("a").orderBy(F.col("sim").desc(), "b")
-    best = written(both.withColumn("k", F.row_number().over(w)).where("k = 1").select(F.col("a").alias("glyph"), F.col("b").alias("best")), "best")
+    best = written(best.where(F.col("sim") >= least).select(F.col("a").alias("glyph"), F.col("b").alias("best")), "best")
     seeds = best.join(best.select(F.col("glyph").alias("best"), F.col("best").alias("glyph")), ["glyph", "best"])
     done = written(seeds.select("glyph", F.least("glyph", "best").alias("cluster")), "clusters")
     while True:  # each round adds a glyph at least

@@ -391,3 +391,37 @@ def test_similar_glyphs_equal_brute_force(spark):
             if s >= 0.7 and all(abs(int(p) - int(q)) <= 2 for p, q in zip(size[a], size[b])):
                 want[a, b] = s
     assert set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-12 for k in got) and len(got) > 40
+
+
+def test_best_vectors_equal_brute_force(spark):
+    """Copies, repeated ids, odd components and several blocks a key against all pairs; no row is made for a pair."""
+    import math
+
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    v = rng.integers(-3, 4, (60, 3)).astype(float).tolist()
+    data = [(i, i % 2, [float(x) / 4 for x in v[i % 40]]) for i in range(60)]
+    data += [(100, 0, v[0]), (100, 0, v[1]), (100, 1, v[2]), (101, 0, v[0]), (102, 0, None), (103, 0, []), (104, 0, [1.0, None, 2.0]), (105, 0, [1.0])]
+    data += [(106, 2, [math.nan, 1.0]), (107, 2, [math.inf, -1.0]), (108, 2, [2.0, 1.0]), (109, 2, [2.0 + 1e-10, 1.0]), (110, 2, [2.0, 1.0]), (111, 3, [1.0]), (112, None, [1.0]), (None, 2, [9.0, 9.0])]
+
+    def sim(x, y):
+        both = [(p, q) for p, q in zip(x or [], y or []) if p is not None and q is not None]
+        return round(sum((p * q for p, q in both), 0.0), 9) if both else None
+
+    def rank(s):
+        return (0, 0) if s is None else (2, 0) if math.isnan(s) else (1, s)
+
+    want = {}
+    for a, k, x in data:
+        for b, m, y in data:
+            if None not in (a, b, k) and k == m and a != b:
+                s = sim(x, y)
+                t = (rank(s), -b)
+                if a not in want or t > want[a]:
+                    want[a] = t
+    d = spark.createDataFrame(data, "vec_id long, label int, embedding array<double>")
+    for least, most in ((512, 4096), (3, 8), (1, 1)):
+        got = {r.a: (rank(r.sim), -r.b) for r in glyphs.best_of_vectors(d, least=least, most=most).collect()}
+        assert {a: t[1] for a, t in got.items()} == {a: t[1] for a, t in want.items()}
+        assert all(got[a][0] == want[a][0] for a in want)
