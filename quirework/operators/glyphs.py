@@ -259,8 +259,8 @@ def best_of_vectors(vectors: DataFrame, key: str = "label", number: str = "vec_i
 
 def mutual(best: DataFrame) -> DataFrame:
     """Pairs ``a < b`` each of which is the other's best (``a, b, sim``)."""
-    back = best.select(F.col("a").alias("b"), F.col("b").alias("a"))
-    return best.join(back, ["a", "b"]).where("a < b")
+    pair = best.groupBy(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).agg(F.count("*").alias("n"), F.max("sim").alias("sim"))
+    return pair.where("n = 2").select(F.col("x").alias("a"), F.col("y").alias("b"), "sim")
 
 
 def mutual_best(pairs: DataFrame) -> DataFrame:

@@ -425,3 +425,10 @@ def test_best_vectors_equal_brute_force(spark):
         got = {r.a: (rank(r.sim), -r.b) for r in glyphs.best_of_vectors(d, least=least, most=most).collect()}
         assert {a: t[1] for a, t in got.items()} == {a: t[1] for a, t in want.items()}
         assert all(got[a][0] == want[a][0] for a in want)
+
+
+def test_best_matches_make_no_rows_for_pairs(spark, sf):
+    from quirework.plans.queries import QUERIES
+
+    plan = QUERIES["glyph_mutual_best"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "zip_with" not in plan and "FlatMapGroupsInArrow" in plan
