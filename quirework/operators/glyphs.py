@@ -42,6 +42,14 @@ def rows(image: Column, width: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring(b, i * width + 1, width))
 
 
+def inked(image: Column, width: Column) -> Column:
+    """Whether there is ink in the whole rows of a bitmap."""
+    n = F.floor(F.length(image) * 4 / width).cast("int") * width
+    digits = F.floor(n / 4).cast("int")
+    last = F.conv(F.substring(image, digits + 1, F.lit(1)), 16, 10).cast("int") >= F.pow(F.lit(2), 4 - n % 4)
+    return F.substring(image, F.lit(1), digits).rlike("[^0]") | F.coalesce(last, F.lit(False))
+
+
 def margins(image: Column, width: Column) -> list[Column]:
     """Blank rows above and below and blank columns left and right of the ink."""
     r = rows(image, width)
@@ -146,6 +154,22 @@ def similar_pairs(glyphs: DataFrame, least: float = 0.5, reach: int = 2) -> Data
     return pairs.select("a", "b", score("ia", "wa", "ib", "wb").alias("sim")).where(F.col("sim") >= least)
 
 
+def similar_classes(glyphs: DataFrame, least: float = 0.5, reach: int = 2) -> DataFrame:
+    """:func:`similar_pairs` with copies kept together: rows ``class, glyph_id`` name each glyph's bitmap (``image,
+    width``), rows ``class, other, sim`` link different bitmaps, the smaller one first.
+
+    All pairs of glyphs are those within a class, with similarity 1, and those
+    of linked classes. Glyphs without ink are in no pair and no class.
+    """
+    from quirework.plans.scratch import written
+
+    kind = F.struct("image", "width")
+    members = glyphs.where(inked(F.col("image"), F.col("width")) & F.col("glyph_id").isNotNull()).select(kind.alias("class"), "glyph_id")
+    kinds = written(members.select("class.*").distinct(), "kinds")  # else margins would be computed for all glyphs before
+    links = similar_pairs(kinds.withColumn("glyph_id", kind), least, reach)
+    return members.unionByName(links.select(F.col("a").alias("class"), F.col("b").alias("other"), "sim"), allowMissingColumns=True)
+
+
 def best_of_pairs(pairs: DataFrame) -> DataFrame:
     """``a, b, sim``: the most similar ``b`` of each ``a``, in pairs of either order (ties to the smaller id)."""
     both = pairs.select("a", "b", "sim").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "sim"))

@@ -432,3 +432,39 @@ def test_best_matches_make_no_rows_for_pairs(spark, sf):
 
     plan = QUERIES["glyph_mutual_best"](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "zip_with" not in plan and "FlatMapGroupsInArrow" in plan
+
+
+def test_similar_classes_hold_all_pairs(spark):
+    """Classes and links give the pairs of all glyphs, and the copies of a bitmap are one row each."""
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 256, (2, 8), dtype=np.uint8)
+    kinds = []
+    for i in range(12):
+        x = base[i % 2].copy()
+        x[rng.integers(0, 8)] ^= 1 << rng.integers(0, 8)
+        kinds.append(x.tobytes().hex().upper())
+    data = [(i, kinds[i * i % 12], 8) for i in range(60)] + [(60, kinds[0], 16), (7, kinds[1], 8), (61, "00" * 8, 8), (62, "00" * 8, 8), (63, None, 8), (None, kinds[0], 8), (64, "00" * 8 + "F", 8), (65, "001", 5), (66, "002", 5), (67, "004", 5), (68, "0040", 5), (69, "", 8)]
+    d = spark.createDataFrame(data, "glyph_id long, image string, width int")
+    want = {(r.a, r.b, round(r.sim, 12)) for r in glyphs.similar_pairs(d, 0.7).collect()}
+    out = glyphs.similar_classes(d, 0.7).collect()
+    member = {}
+    for r in out:
+        if r.other is None:
+            member.setdefault(r["class"], []).append(r.glyph_id)
+    got = {(a, b, 1.0) for ids in member.values() for a in ids for b in ids if a < b}
+    for r in out:
+        if r.other is not None:
+            got |= {(min(a, b), max(a, b), round(r.sim, 12)) for a in member[r["class"]] for b in member[r.other] if a != b}
+    assert got == want and len(want) > 200 and any(s < 1 for *_, s in want)
+
+
+def test_copies_of_a_name_grow_no_pairs(spark, tmp_path):
+    from quirework.plans.queries import QUERIES
+
+    names = ["old plate", "old plates", "hot gear"]
+    spark.range(3000).select(F.col("id").alias("p_partkey"), F.element_at(F.array(*map(F.lit, names)), (F.col("id") % 3 + 1).cast("int")).alias("p_name")).write.parquet(str(tmp_path / "part.parquet"))
+    out = QUERIES["glyph_similarity"](spark, str(tmp_path)).collect()
+    assert sorted(r.glyph_id for r in out if r.glyph_id is not None) == list(range(3000)) and len(out) <= 3000 + 3
+    assert len({r["class"] for r in out if r.glyph_id is not None}) == 3
